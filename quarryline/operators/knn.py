@@ -1,0 +1,215 @@
+"""Exact k nearest vectors by a block matrix join over int8 tiles (problem 5)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+#: Rows of an answering block, the most rows of an asking strip, and the strips a group is cut into below that size.
+BLOCK, STRIP, SPREAD = 4096, 65536, 16
+DECIMALS = 9
+GROUP = ["provider", "model_version"]
+KEY = [*GROUP, "h1", "h2"]
+
+
+def usable_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
+    """(provider, model_version, vec_id, embedding) of the usable rows, each vec_id once.
+
+    Usable: dim finite numbers, not all zero, vec_id not null. Of rows that share (provider, model_version, vec_id) the
+    one with the greatest embedding is kept. A null provider or model_version is a value of its own.
+    """
+    e = F.col("embedding")
+    ok = (
+        (F.size(e) == dim)
+        & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        & F.exists(e, lambda x: x != 0)
+        & F.col("vec_id").isNotNull()
+    )
+    return vectors.where(ok).groupBy(*GROUP, "vec_id").agg(F.max("embedding").alias("embedding"))
+
+
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of unit length as int8 codes, their scales, and the norms of what the codes leave out."""
+    scale = np.abs(x).max(axis=1) / 127
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
+
+
+class Heaps:
+    """The best k+1 (score, id) of each asking row, merged block by block."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: float):
+        self.ids, self.x, self.k, self.floor = ids, x, k, floor
+        codes, self.scale, self.rest = quantise(x)
+        self.codes = codes.astype(np.float32)
+        self.kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.least = np.full(len(x), floor)
+
+    def answer(self, ids: np.ndarray, x: np.ndarray, step: int = 1024) -> None:
+        """Merge one answering block; ids has up to k+1 ids of equal vectors a row, padded with -1.
+
+        With unit vectors u = q + r the cosine differs from the product of the codes by at most |r_a| + |r_b| +
+        |r_a||r_b|. int8 products are summed exactly in float32 (64 * 127 * 127 < 2**24). Pairs whose upper bound reaches
+        the row's k-th score so far, or its k-th lower bound, are computed again in double precision.
+        """
+        codes, scale, rest = quantise(x)
+        right = codes.T.astype(np.float32)
+        scale32, worst = scale.astype(np.float32), float(rest.max())
+        for at in range(0, len(self.x), step):
+            to = min(at + step, len(self.x))
+            tile = self.codes[at:to] @ right
+            tile *= scale32
+            slack = self.rest[at:to] * (1 + worst) + worst + 1e-5
+            mine = self.scale[at:to]
+            need = ((self.least[at:to] - slack) / mine).astype(np.float32)
+            rows = np.flatnonzero(tile.max(axis=1) >= need)
+            if not len(rows):
+                continue
+            part = tile[rows]
+            unset = np.flatnonzero(self.least[at + rows] <= -1)
+            if len(unset) and part.shape[1] > self.k + 1:
+                kth = np.partition(part[unset], part.shape[1] - self.k - 1, axis=1)[:, part.shape[1] - self.k - 1]
+                need[rows[unset]] = kth - (2 * slack / mine)[rows[unset]]
+            i, j = np.nonzero(part >= need[rows][:, None])
+            i = rows[i] + at
+            exact = np.round(np.einsum("ij,ij->i", self.x[i], x[j]), DECIMALS)
+            good = exact >= self.floor
+            i, j, exact = i[good], j[good], exact[good]
+            # a representative stands for up to k+1 ids with the same score
+            i, exact, found = np.repeat(i, ids.shape[1]), np.repeat(exact, ids.shape[1]), ids[j].ravel()
+            real = found >= 0 if ids.shape[1] > 1 else slice(None)
+            self.kept.append((i[real], found[real], exact[real]))
+        if sum(len(p[0]) for p in self.kept[1:]) > 4 * (self.k + 1) * len(self.x) or self.least.min() <= -1:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, found, score = (np.concatenate(c) for c in zip(*self.kept))
+        order = np.lexsort((found, -score, i))
+        i, found, score = i[order], found[order], score[order]
+        count = np.bincount(i, minlength=len(self.x))
+        rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        best = rank <= self.k  # k+1: the asking vector may be one of them
+        full = rank == self.k
+        self.least[i[full]] = np.maximum(self.least[i[full]], score[full])
+        self.kept = [(i[best], found[best], score[best])]
+        return self.kept[0]
+
+
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    return column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _padded(column: pa.ListArray, width: int) -> np.ndarray:
+    lists = column.flatten()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(sizes), int(min(width, sizes.max(initial=1)))), -1, np.int64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _tiles(k: int, floor: float, dim: int):
+    schema = pa.schema([("provider", pa.string()), ("model_version", pa.string()), ("h1", pa.int64()), ("h2", pa.int32()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+
+    def unit(col) -> np.ndarray:
+        x = _matrix(col, dim).astype(np.float64)
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    def flush(key, heaps: Heaps, h1, h2) -> Iterator[pa.RecordBatch]:
+        i, found, score = heaps.merge()
+        ends = np.r_[0, np.cumsum(np.bincount(i, minlength=len(heaps.x)))].astype(np.int32)
+        n = len(heaps.x)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(ends), pa.array(found)), pa.ListArray.from_arrays(pa.array(ends), pa.array(score))],
+            schema=schema,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asking, heaps = None, [], None
+        for b in batches:
+            for r in range(b.num_rows):
+                row = b.slice(r, 1)
+                now = tuple(row.column(c)[0].as_py() for c in (0, 1, 2))
+                if now != key:
+                    if heaps is not None:
+                        yield from flush(key, heaps, h1, h2)
+                    key, asking, heaps = now, [], None
+                ids, x = _padded(row.column(5), k + 1), unit(row.column(8))
+                if row.column(3)[0].as_py() == 0:
+                    asking.append((x, row.column(6).flatten().to_numpy(), row.column(7).flatten().to_numpy()))
+                    continue
+                if heaps is None:
+                    xs, h1s, h2s = zip(*asking)
+                    h1, h2 = np.concatenate(h1s), np.concatenate(h2s)
+                    heaps, asking = Heaps(h1, np.concatenate(xs), k, floor), []
+                heaps.answer(ids, x)
+        if heaps is not None:
+            yield from flush(key, heaps, h1, h2)
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int = 5, min_score: float = -1.0, dim: int = 64) -> DataFrame:
+    """(provider, model_version, vec_id, hit_no, neighbour, score): the k most similar other vectors of every usable vector.
+
+    Similar is cosine, rounded to 9 decimals; ties go to the smaller vec_id. Pairs under `min_score` are left out. Only
+    vectors of the same provider and model_version are compared (null is a value of its own). Unusable rows (see
+    usable_vectors) neither ask nor answer; an empty table gives no rows; other columns are ignored.
+
+    Plan: equal embeddings collapse to one representative with the k+1 smallest ids of its members, so copies, however
+    many, cost one row (the group limit works before the shuffle). Representatives are cut into blocks by hash; a task
+    holds one asking strip and streams over the answering blocks, so its memory is a strip and a block at any size. What
+    moves is one copy of the blocks for each strip. Exact, hence quadratic in a group's different vectors.
+    """
+    usable = usable_vectors(vectors, dim).withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
+    by_id = Window.partitionBy(*KEY).orderBy("vec_id")
+    reps = (
+        usable.withColumn("rn", F.row_number().over(by_id))
+        .where(F.col("rn") <= k + 1)
+        .groupBy(*KEY)
+        .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
+    )
+    sizes = reps.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    sizes = sizes.select(
+        F.col("provider").alias("_p"),
+        F.col("model_version").alias("_m"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+        F.greatest(F.ceil(F.col("n") / STRIP), F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD))).cast("int").alias("strips"),
+    )
+    same = F.col("provider").eqNullSafe(F.col("_p")) & F.col("model_version").eqNullSafe(F.col("_m"))
+    blocks = (
+        reps.join(sizes, same)
+        .withColumn("block", F.pmod(F.col("h2"), F.col("blocks")))
+        .groupBy(*GROUP, "strips", "block")
+        .agg(F.collect_list(F.struct("ids", "h1", "h2", "embedding")).alias("rows"))
+        .select(*GROUP, "strips", "block", F.col("rows.ids").alias("ids"), F.col("rows.h1").alias("h1"), F.col("rows.h2").alias("h2"), F.col("rows.embedding").alias("vecs"))
+    )
+    cols = ["ids", "h1", "h2", "vecs"]
+    asking = blocks.select(*GROUP, F.pmod("block", "strips").alias("strip"), F.lit(0).alias("side"), "block", *cols)
+    answering = blocks.select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"), F.lit(1).alias("side"), "block", *cols)
+    parts = max(48, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    best = (
+        asking.unionByName(answering)
+        .repartition(parts, *GROUP, "strip")
+        .sortWithinPartitions(*GROUP, "strip", "side", "block")
+        .mapInArrow(_tiles(k, min_score, dim), "provider string, model_version string, h1 long, h2 int, ids array<long>, scores array<double>")
+    )
+    hits = best.where(F.size("ids") > 0).select(F.col("provider").alias("_p"), F.col("model_version").alias("_m"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.arrays_zip("ids", "scores").alias("hits"))
+    members = usable.select(*GROUP, "vec_id", "h1", "h2")
+    others = F.slice(F.filter("hits", lambda h: h["ids"] != F.col("vec_id")), 1, k)
+    return (
+        members.join(hits, same & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+        .select(*GROUP, "vec_id", F.posexplode(others).alias("pos", "hit"))
+        .select(*GROUP, "vec_id", (F.col("pos") + 1).alias("hit_no"), F.col("hit.ids").alias("neighbour"), F.col("hit.scores").alias("score"))
+    )
+
+
+def similar_pairs(vectors: DataFrame, k: int = 5, min_score: float = 0.85, dim: int = 64) -> DataFrame:
+    """(vec_a, vec_b), vec_a < vec_b: pairs in which one is among the k nearest of the other and the cosine reaches min_score."""
+    hits = nearest(vectors, k, min_score, dim)
+    return hits.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
