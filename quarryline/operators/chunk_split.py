@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A token is a run of word characters, a run of blanks, one line end, or one other character.
 TOKEN = re.compile(r"\r\n|\n|\r|[ \t]+|\w+|.", re.S)
 
+#: The limits (12 bytes a row) are broadcast up to this many rows of configuration, counted first; else the join shuffles.
+BROADCAST_ROWS = 500_000
+
 PIECES = "chunk_id string, repo_id int, piece int, start_char int, end_char int, start_line int, end_line int, content string"
 
 
@@ -127,16 +130,17 @@ def split_oversized(chunks: DataFrame, config: DataFrame, default_repo: int = 0)
     chunk_overlap characters before the end of piece i. end_line is the line of a piece's last character; both lines are
     null where start_line is. Empty tables give no rows.
 
-    Plan: the limits are a broadcast of one row a repository only while Spark's own size threshold allows it (else a
-    shuffled join); the length filter runs in the JVM before any text reaches Python or a shuffle.
+    Plan: the limits are broadcast while the configuration has at most BROADCAST_ROWS rows, else the join is shuffled and
+    left to adaptive execution; the length filter runs in the JVM before any text reaches Python or a shuffle.
     """
     limits = limits_in_force(config, default_repo)
+    few = config.count() <= BROADCAST_ROWS
     own = limits.select(F.col("repo_id").alias("_r"), F.col("chunk_size").alias("_size"), F.col("chunk_overlap").alias("_overlap"))
     rest = limits.where(F.col("repo_id") == default_repo).select(F.col("chunk_size").alias("_dsize"), F.col("chunk_overlap").alias("_doverlap"))
     big = (
         chunks.select("chunk_id", "repo_id", "start_line", "content")
         .where(F.col("content").isNotNull())
-        .join(own, F.col("repo_id") == F.col("_r"), "left")
+        .join(F.broadcast(own) if few else own, F.col("repo_id") == F.col("_r"), "left")
         .join(F.broadcast(rest), F.lit(True), "left")  # at most one row
         .withColumn("_limit", F.coalesce("_size", "_dsize"))
         .where(F.length("content") > F.col("_limit"))

@@ -10,11 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Bytes of an Arrow batch handed to a Python worker, so that long texts do not add up.
+ARROW_BYTES = 32 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: they can where PYTHONPATH names it, else Spark distributes an archive."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
     app = spark.sparkContext.applicationId
