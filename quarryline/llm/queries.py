@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import bpe, packing
+from quarryline.llm import bpe, docpairs, packing, parsing
 from quarryline.sources.tables import table
 
 
@@ -16,5 +16,25 @@ def p8_placements(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_containers(table(spark, base, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_placements": p8_placements}
+def p2_states(spark: SparkSession, base: str) -> DataFrame:
+    return parsing.parse_states(table(spark, base, "files"), table(spark, base, "chunks"))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return p2_states(spark, base).where("error is not null").select("file_id")
+
+
+def p2_rates(spark: SparkSession, base: str) -> DataFrame:
+    return parsing.invalid_rates(p2_states(spark, base))
+
+
+def p6_pairs(spark: SparkSession, base: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, base, "files"), table(spark, base, "chunks"))
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return p6_pairs(spark, base).select("file_id", "line_no", "function_name").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
 ORACLES: dict[str, str] = {}
