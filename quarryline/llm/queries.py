@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, docpairs, packing, parsing
+from quarryline.llm import bpe, docpairs, packing, parsing, secrets
 from quarryline.sources.tables import table
 
 
@@ -36,5 +37,14 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_pairs(spark, base).select("file_id", "line_no", "function_name").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
+def p4_masked(spark: SparkSession, base: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, base, "chunks"))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    found = p4_masked(spark, base).where("chunk_id is not null")
+    return found.select("chunk_id", F.explode("line_nos").alias("line_no")).distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
 ORACLES: dict[str, str] = {}
