@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, docpairs, packing, parsing, secrets
+from quarryline.llm import bpe, docpairs, origin, packing, parsing, secrets
 from quarryline.sources.tables import table
 
 
@@ -46,5 +46,13 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return found.select("chunk_id", F.explode("line_nos").alias("line_no")).distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
+def p3_files(spark: SparkSession, base: str) -> DataFrame:
+    return origin.foreign_files(table(spark, base, "files"), table(spark, base, "chunks"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return p3_files(spark, base).select("file_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
 ORACLES: dict[str, str] = {}
