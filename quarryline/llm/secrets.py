@@ -6,14 +6,13 @@ of a secret or not from its shape and context; the spans of the best label seque
 
 from __future__ import annotations
 
-import base64
-import binascii
-import math
+import functools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,19 +36,44 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 REFERENCE = re.compile(r"^\$|\$\{|\{\{|^%\(?\w|^%\w+%$|^@\w+@?$|^#\{|^ENC\[|^vault:|^secret[s]?[:/]|^ref\+|^arn:|^file:|^env[:.]|^op://|^ssm:|process\.env|os\.environ|getenv|<%|^!\w+ |^projects/")
-#: A line that may hold a secret: a telling name before a sign or flag, a provider's form, a login, an authorisation, a key block.
-CANDIDATE = re.compile(
-    r"-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY"
-    r"|://[^\s/\"'`:@]*:|(?:Bearer|Basic|bearer|basic|token) +[\w+/=.~\-]{8}|-u[ =]?\S+:|--?(?:user|proxy-user)[ =]\S+:"
-    r"|(?:gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|xapp-|[srp]k_|whsec_|SG\.|A[KSBC][IC]A[A-Z0-9]|AIza|ya29\.|npm_|pypi-|hf_|dop_v1_|shp|sk-|AC[0-9a-f]{8}|key-[0-9a-f]{8}|eyJ)"
-    r"|(?i:pass|pwd|pw\W|pw\d|secret|token|key|auth|bearer|credential|creds?\W|creds?\d|kennwort|geheim|schl.{1,2}ssel|passe|mdp|jeton|clave|contrase|senha|parola|jwt|pat\W|pat\d|pin\W)"
-)
-#: The same in the JVM, to keep chunks without any such line from Python.
-CANDIDATE_JVM = r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY|://[^\s/\"'`:@]*:|-u[ =]?\S+:|--?(user|proxy-user)[ =]\S+:|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|xapp-|[srp]k_|whsec_|SG\.|A[KSBC][IC]A[A-Z0-9]|AIza|ya29\.|npm_|pypi-|hf_|dop_v1_|shp|sk-|AC[0-9a-f]{8}|eyJ|(?i:pass|pwd|pw\W|pw\d|secret|token|key|auth|bearer|basic|credential|creds?\W|creds?\d|kennwort|geheim|schl.{1,2}ssel|mdp|jeton|clave|contrase|senha|parola|jwt|pat\W|pat\d|pin\W)"
+#: Literals (in lower case) that a line holding a secret has, with what must stand there in the text, if more is needed.
+SIGNALS = {
+    "private key": None, "secret": None, "passw": None, "passphrase": None, "passcode": None, "passe": None, "pwd": None, "token": None, "kennwort": None, "geheim": None, "schlüssel": None, "schluessel": None,
+    "jeton": None, "clave": None, "contrase": None, "senha": None, "parola": None, "jwt": None, "mdp": None, "signing": None, "bearer": None, "credential": None, "github_pat_": None, "glpat-": None, "whsec_": None, "xapp-": None, "aiza": None, "ya29.": None, "pypi-": None, "dop_v1_": None,
+    "pass": r"pass(?![a-z])|Pass(?![a-z])|PASS", "pw": r"(?i:pw)(?![A-Za-z])", "pat": r"(?i:pat)(?![A-Za-z])", "pin": r"(?i:pin)(?![A-Za-z])", "auth": r"(?i:auth(?!ors?\b|ored|oring))", "creds": r"(?i:creds)(?![A-Za-z])", "cred": r"(?i:cred)(?![A-Za-z])",
+    "key": r"Key|KEY|(?<=[_.\-])key|(?<=api)key|key(?=[_\-]?id)", "basic": r"(?i:basic) +[\w+/=]{8}", "://": r"://[^\s/\"'`:@]*:", "-u": r"(?<![\w\-])-u[ =]?[^\s:]+:", "--user": r"--user[ =][^\s:]+:", "--proxy-user": r"--proxy-user[ =][^\s:]+:",
+    "gho_": None, "ghp_": None, "ghu_": None, "ghs_": None, "ghr_": None, "xox": r"xox[abeoprs]-", "k_live_": None, "k_test_": None, "k_prod_": None, "sg.": r"SG\.[\w\-]{8}", "akia": r"AKIA[A-Z0-9]", "asia": r"ASIA[A-Z0-9]{8}", "abia": r"ABIA[A-Z0-9]{8}", "acca": r"ACCA[A-Z0-9]{8}",
+    "npm_": r"npm_\w{20}", "hf_": r"hf_\w{20}", "shpat_": None, "shpss_": None, "shpca_": None, "sk-": r"(?<!\w)sk-[\w\-]{20}", "key-": r"key-[0-9a-f]{32}", "eyj": r"eyJ[\w\-]{8}", "ac": r"(?<!\w)AC[0-9a-f]{32}",
+}
+
+
+@functools.cache
+def _signals() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for k, r in SIGNALS.items():
+        out.add_word(k, (len(k), re.compile(r).match if r else None))
+    out.make_automaton()
+    return out
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines that may hold a secret, in order: an automaton finds all signals in one pass."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+    done = -1
+    for end, (size, check) in _signals().iter(low):
+        at = end - size + 1
+        if at > done and (check is None or check(text, at)):
+            stop = text.find("\n", at)
+            done = len(text) if stop < 0 else stop
+            yield text.rfind("\n", 0, at) + 1, done
+
+
 BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
-#: Rows of labelled lines the field is fitted on at most.
-FIT_CHUNKS = 2000
+#: The field is fitted on the lines of at most so many chunks.
+FIT_CHUNKS = 12000
 MASK = "*"
 
 _TOKEN = re.compile(
@@ -310,7 +334,7 @@ class Field:
         return out[::-1]
 
 
-def fit(lines: list[list[Token]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def fit(lines: list[list[Token]], epochs: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Field:
     """Fit by gradient ascent on the conditional likelihood of weak_labels, all lines at once (forward-backward by position)."""
     lines = [x for x in lines if x]
     index: dict[str, int] = {}
@@ -411,15 +435,8 @@ def find(text: str, field: Field) -> tuple[list[int], str]:
             if not m[0].startswith("\\"):
                 spans.append(m.span())
     covered = [(s if s >= 0 else a, b) for s, a, b in blocks]
-    done = -1
-    for m in CANDIDATE.finditer(text):
-        if m.start() <= done:
-            continue
-        at = text.rfind("\n", 0, m.start()) + 1
-        stop = text.find("\n", m.start())
-        stop = len(text) if stop < 0 else stop
-        done = stop
-        if any(a <= m.start() < b for a, b in covered):
+    for at, stop in candidates(text):
+        if any(a <= at < b for a, b in covered):
             continue
         if "-----BEGIN" in text[at:stop] or "-----END" in text[at:stop]:
             continue
@@ -445,12 +462,13 @@ def find(text: str, field: Field) -> tuple[list[int], str]:
 
 
 def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
-    """The field fitted on the candidate lines of at most `most` chunks, chosen by a hash of their id; the bound holds at any size."""
-    sample = chunks.where(F.col("content").rlike(CANDIDATE_JVM)).select(F.substring("content", 1, 20000).alias("content"), F.xxhash64("chunk_id", "content").alias("h")).orderBy("h").limit(most)
+    """The field fitted on the lines with signals of at most `most` chunks, chosen by a hash of their id; the bound holds at any size."""
+    sample = chunks.where("content is not null").select(F.substring("content", 1, 20000).alias("content"), F.xxhash64("chunk_id", "start_line").alias("h")).orderBy("h").limit(most)
     lines, seen = [], set()
     for r in sample.toLocalIterator():
-        for x in r["content"].split("\n"):
-            if len(x) < 2000 and x not in seen and CANDIDATE.search(x):
+        for a, b in candidates(r["content"]):
+            x = r["content"][a:b]
+            if len(x) < 2000 and x not in seen:
                 seen.add(x)
                 lines.append(tokens(x))
     return fit(lines)
@@ -478,5 +496,5 @@ def find_secrets(chunks: DataFrame, field: Field | None = None) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    hits = chunks.where(F.col("content").rlike(CANDIDATE_JVM)).select("chunk_id", "start_line", "content").mapInArrow(run, "chunk_id string, start_line int, line_nos array<int>, masked string")
+    hits = chunks.where("content is not null").select("chunk_id", "start_line", "content").mapInArrow(run, "chunk_id string, start_line int, line_nos array<int>, masked string")
     return hits.groupBy("chunk_id", "start_line", "line_nos", "masked").agg(F.lit(1)).select("chunk_id", "line_nos", "masked")
