@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -33,3 +34,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def arrow_batch(spark: SparkSession, rows: int) -> None:
     """Rows per Arrow batch handed to Python workers; long texts need small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows to fit a model on, chosen by a hash of their keys; the same rows for the same table.
+
+    A threshold on the hash, from the row count, leaves about three times as many rows before the exact cut, so no task
+    sees more than that whatever the size of the table. A small table is taken whole.
+    """
+    n = df.count()
+    h = F.xxhash64(*keys)
+    share = min(1.0, 3 * most / max(1, n))
+    some = df if share == 1.0 else df.where(F.pmod(h, F.lit(1_000_003)) < int(share * 1_000_003))
+    return some.withColumn("_h", h).orderBy("_h").limit(most).drop("_h")
