@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.corpus import current_chunks, map_texts
 from quarryline.llm.grammar import syntax_error
-from quarryline.sources.tables import written
+from quarryline.sources.tables import bounded_sample, written
 
 #: Rows the forest is fitted on at most, its size, and the share of trees that decides. Files without a notice count as
 #: hand-written in the fit though some are not, so the share is below one half.
@@ -122,7 +122,7 @@ def foreign_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     all_ = written(described_files(files, chunks), "described")
     plain = all_.drop("text").withColumn("v", array_to_vector("features"))
-    sample = plain.where("label is not null").select("v", F.col("label").cast("double").alias("label"), F.xxhash64("file_id").alias("h")).orderBy("h").limit(FIT_FILES)
+    sample = bounded_sample(plain.where("label is not null").select("file_id", "v", F.col("label").cast("double").alias("label")), ["file_id"], FIT_FILES)
     kinds = [r["label"] for r in sample.groupBy("label").count().collect()]  # at most two rows
     if len(kinds) > 1:
         model = RandomForestClassifier(featuresCol="v", numTrees=TREES, maxDepth=DEPTH, seed=11, cacheNodeIds=False, subsamplingRate=0.7, minInstancesPerNode=2).fit(sample)

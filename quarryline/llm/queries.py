@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, docpairs, origin, packing, parsing, secrets
+from quarryline.llm import bpe, docpairs, origin, packing, parsing, secrets, subjects
 from quarryline.sources.tables import table
 
 
@@ -54,5 +54,17 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return p3_files(spark, base).select("file_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
+def p9_subjects(spark: SparkSession, base: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, base, "documents"), table(spark, base, "subject_labels"), table(spark, base, "subjects"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return p9_subjects(spark, base).where("doc_id is not null").select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, base: str) -> DataFrame:
+    return subjects.composition(p9_subjects(spark, base))
+
+
+QUERIES = {"p9_found": p9_found, "p9_subjects": p9_subjects, "p9_composition": p9_composition, "p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
 ORACLES: dict[str, str] = {}

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.sources.tables import bounded_sample
+
 #: Parts of names that hold secrets, and parts that say a name holds something else.
 SECRET_NAME = re.compile(
     r"pass(?:wd|word|phrase|code)?(?![a-z])|passw|pwd|(?:^|[_.\-])pw(?![a-z])|[a-z]Pw(?![a-z])|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|secret[_\-]?key|signing|encryption[_\-]?key|auth|bearer|credential|\bcreds?|kennwort|passwort|geheim|schl(?:ü|ue)ssel|mot[_\-]?de[_\-]?passe|mdp\b|jeton|clave|contrase(?:ñ|n)a|senha|parola|jwt|(?:^|[_.\-])pat\b|[a-z]Pat\b|key[_\-]?id|_key\b|[a-z]Key\b|\bpin\b",
@@ -463,7 +465,7 @@ def find(text: str, field: Field) -> tuple[list[int], str]:
 
 def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
     """The field fitted on the lines with signals of at most `most` chunks, chosen by a hash of their id; the bound holds at any size."""
-    sample = chunks.where("content is not null").select(F.substring("content", 1, 20000).alias("content"), F.xxhash64("chunk_id", "start_line").alias("h")).orderBy("h").limit(most)
+    sample = bounded_sample(chunks.select("chunk_id", "start_line", F.substring("content", 1, 20000).alias("content")), ["chunk_id", "start_line"], most).where("content is not null")
     lines, seen = [], set()
     for r in sample.toLocalIterator():
         for a, b in candidates(r["content"]):
