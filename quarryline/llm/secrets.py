@@ -41,7 +41,7 @@ REFERENCE = re.compile(r"^\$|\$\{|\{\{|^%\(?\w|^%\w+%$|^@\w+@?$|^#\{|^ENC\[|^vau
 #: Literals (in lower case) that a line holding a secret has, with what must stand there in the text, if more is needed.
 SIGNALS = {
     "private key": None, "secret": None, "passw": None, "passphrase": None, "passcode": None, "passe": None, "pwd": None, "token": None, "kennwort": None, "geheim": None, "schlüssel": None, "schluessel": None,
-    "jeton": None, "clave": None, "contrase": None, "senha": None, "parola": None, "jwt": None, "mdp": None, "signing": None, "bearer": None, "credential": None, "github_pat_": None, "glpat-": None, "whsec_": None, "xapp-": None, "aiza": None, "ya29.": None, "pypi-": None, "dop_v1_": None,
+    "jeton": None, "clave": None, "contrase": None, "senha": None, "parola": None, "jwt": None, "mdp": None, "signing": None, "login": r"(?i:login)\s", "log-in": None, "sign-in": None, "account": r"(?i:account) +(?:was|is|are)", "zugang": None, "anmeldung": None, "identifiant": None, "bearer": None, "credential": None, "github_pat_": None, "glpat-": None, "whsec_": None, "xapp-": None, "aiza": None, "ya29.": None, "pypi-": None, "dop_v1_": None,
     "pass": r"pass(?![a-z])|Pass(?![a-z])|PASS", "pw": r"(?i:pw)(?![A-Za-z])", "pat": r"(?i:pat)(?![A-Za-z])", "pin": r"(?i:pin)(?![A-Za-z])", "auth": r"(?i:auth(?!ors?\b|ored|oring))", "creds": r"(?i:creds)(?![A-Za-z])", "cred": r"(?i:cred)(?![A-Za-z])",
     "key": r"Key|KEY|(?<=[_.\-])key|(?<=api)key|key(?=[_\-]?id)", "basic": r"(?i:basic) +[\w+/=]{8}", "://": r"://[^\s/\"'`:@]*:", "-u": r"(?<![\w\-])-u[ =]?[^\s:]+:", "--user": r"--user[ =][^\s:]+:", "--proxy-user": r"--proxy-user[ =][^\s:]+:",
     "gho_": None, "ghp_": None, "ghu_": None, "ghs_": None, "ghr_": None, "xox": r"xox[abeoprs]-", "k_live_": None, "k_test_": None, "k_prod_": None, "sg.": r"SG\.[\w\-]{8}", "akia": r"AKIA[A-Z0-9]", "asia": r"ASIA[A-Z0-9]{8}", "abia": r"ABIA[A-Z0-9]{8}", "acca": r"ACCA[A-Z0-9]{8}",
@@ -85,6 +85,8 @@ _TOKEN = re.compile(
 
 
 USER_FLAGS = ("-u", "--user", "--proxy-user")
+#: A login told in words: a name and a value with a slash or colon between, after a word for it.
+_SPOKEN = re.compile(r"((?i:log-?in|sign-?in|credentials?|creds|account|user(?:name)?|zugang|anmeldung|identifiants?|acceso|usuario)(?:\s+(?:was|is|are|were|war|ist|lautet|était|est|era|es|data|details))?\s*:?)\s+([A-Za-z][\w.@\-]+)\s*[/:]\s+([^\s\"'`/][^\s\"'`]{5,})").match
 _PAIR = re.compile(r"([^\s:\"'`/]+):([^\s\"'`]+)").match
 
 
@@ -119,6 +121,10 @@ def tokens(line: str) -> list[Token]:
             out += [Token(pos, mid, pair[1], "user", name, role, bool(quote)), Token(mid, mid + 1, ":", "sign"), Token(mid + 1, pair.end(), pair[2], "value", name, "login", bool(quote))]
             pos, role, name = pair.end(), "", ""
             continue
+        if kind != "quote" and (pair := _SPOKEN(line, pos)) and (pos == 0 or not line[pos - 1].isalnum()):  # "login was name / value"
+            out += [Token(pos, pair.end(1), pair[1], "word", name, "", bool(quote)), Token(pair.start(2), pair.end(2), pair[2], "user", name, "", bool(quote)), Token(pair.end(2), pair.start(3), "/", "sign"), Token(pair.start(3), pair.end(3), pair[3], "value", name, "login", bool(quote))]
+            pos = pair.end(3)
+            continue
         if kind == "flag" and pos and line[pos - 1].isspace():
             sure = False
         if quote and kind not in ("quote", "url") and not (kind == "flag" and line[pos - 1].isspace()) and not (kind == "name" and "://" not in text and re.match(r"[A-Za-z_][\w.\-]*[=:]\S", line[pos:]) is None and re.match(r"[\w.\-]+\s*:\s", line[pos:])):
@@ -204,11 +210,13 @@ def tokens(line: str) -> list[Token]:
             sure = sure and kind == "value" and text.lower() in ("bearer", "basic")
         pos = end
     for t in out:
-        t.whole = t.text
+        inside = any(line.rfind(a, 0, t.start) > line.rfind(b, 0, t.start) for a, b in (("{{", "}}"), ("<%", "%>"), ("${", "}")))
+        t.whole = "{{" + t.text if inside else t.text  # a reference
     for i in _joints(out):
         out[i + 4].joined = 2
         out[i].joined = out[i].joined or 1
     chain: list[Token] = []
+    # values that a plus joins are one
     for t in [*out, Token(0, 0, "", "")]:
         if t.kind in ("value", "word"):
             if t.joined == 2 and chain:
@@ -249,11 +257,17 @@ _SHAPES = (
 )
 
 
+def _scrambled(s: str) -> bool:
+    """Whether the parts of a name or phrase are no words: of three letters or more without a vowel, or capitals inside."""
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
+    return len(s) >= 8 and (sum(1 for x in parts if len(x) > 2 and not re.search(r"[aeiouyAEIOUY]", x)) > 0 and len(parts) > 2 or len(parts) > 3 and sum(map(len, parts)) / len(parts) < 2.7)
+
+
 def shape(s: str) -> str:
     if FORMAT.match(s):
         return "format"
     for k, r in _SHAPES:
-        if r.fullmatch(s) and not (k == "path" and len(s) >= 30 and re.search(r"\d", s) and re.search(r"[A-Z]", s)):
+        if r.fullmatch(s) and not (k in ("words", "name") and _scrambled(s)) and not (k == "path" and len(s) >= 30 and re.search(r"\d", s) and re.search(r"[A-Z]", s)):
             return k
     classes = [bool(re.search(p, s)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]")]
     return "mixed" + "".join("01"[c] for c in classes)
@@ -298,7 +312,7 @@ def weak_labels(line: list[Token]) -> list[int]:
                 y = 1
             elif t.before in ("bearer", "basic") and (len(v) >= 8 and s not in ("lower", "title", "name", "words") or len(v) >= 20):
                 y = 1
-            elif t.before in ("token", "password", "passphrase", "secret", "key") and len(v) >= 20 and (s.startswith("mixed") or s == "name") and re.search(r"\d", v):
+            elif t.before in ("token", "password", "passphrase", "secret", "key") and len(v) >= 20 and (s.startswith("mixed") or s in ("name", "hex")) and re.search(r"\d", v):
                 y = 1
             elif _owner(t.name) == "secret" and t.kind == "value" and t.before != "word" and v.lower() not in ("bearer", "basic"):
                 y = int(len(v) >= (6 if t.quoted else 8) and s not in ("number", "upper", "title", "path", "uuid", "hash", "lower", "words") and (s != "name" or len(v) >= 20 or len(v) >= 8 and re.search(r"\d", v) is not None))
