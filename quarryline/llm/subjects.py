@@ -72,7 +72,7 @@ class Space:
             norm = np.linalg.norm(v, axis=1)
             cos = v @ self.centroids.T / np.maximum(norm, 1e-6)[:, None]
             for s in range(len(self.subjects)):
-                best[at:to, s] = cos[:, self.owner == s].max(axis=1)
+                best[at:to, s] = cos[:, self.owner == s].max(axis=1, initial=0)
             size[at:to] = norm
             at = to
         top = best.argmax(axis=1)
