@@ -121,7 +121,7 @@ def split_parameters(text: Column) -> Column:
         return F.struct(depth.alias("depth"), quote.alias("quote"), F.when(cut, "").otherwise(F.concat(a["now"], c)).alias("now"), F.when(cut, F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]).alias("out"))
 
     parts = F.aggregate(F.split(text, ""), zero, step, lambda a: F.concat(a["out"], F.array(a["now"])))
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def call_edges(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
