@@ -17,6 +17,7 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: they can where PYTHONPATH names it, else Spark distributes an archive."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times are meant as UTC
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
