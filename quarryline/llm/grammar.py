@@ -112,7 +112,7 @@ def grammar_error(x: Lexed, language: str) -> str:
             else:
                 if not line and v in starts and a in ("i", "n", "s", "r", "]") and av not in before and av not in ("default",) and not (a == "i" and b4 in ("@",)):
                     return "statement after an operand"
-                if v in ("const", "var") and i + 1 < n and kinds[i + 1] not in ("i", "[", "{") and values[i + 1] != "enum":
+                if v in ("const", "var") and av not in ("as", "<") and i + 1 < n and kinds[i + 1] not in ("i", "[", "{") and values[i + 1] != "enum":
                     return "declaration without name"
                 if v == "import" and i + 1 < n and not stack and not _imports(x, i):
                     return "malformed import"

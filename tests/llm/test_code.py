@@ -16,7 +16,7 @@ CHUNKS = "file_id long, repo_id int, relative_path string, chunk_id string, ordi
 t = lambda n: dt.datetime(2025, 1, n)
 
 JS = "import { a as b } from './x.js';\nexport class Q extends P {\n  static async go(x = [], ...y) {\n    const r = /[({\\[]+/g.exec(`t-${x.map((z) => `${z}`)}-1`);\n    return x?.y ?? 3 / 2;\n  }\n  #p = 1;\n}\nfor (const k of q) { if (k) go(k); }\nlabel: for (;;) { break label; }\n"
-TS = "interface R { id: number; t?: string | null; readonly q: ReadonlyArray<string> }\ntype E<T> = T extends readonly (infer U)[] ? U : never;\nexport async function f(a: Array<{ id: number }>, b?: Record<string, unknown>): Promise<string[]> {\n  return a!.map((x) => x as any);\n}\n"
+TS = "interface R { id: number; t?: string | null; readonly q: ReadonlyArray<string> }\ntype E<T> = T extends readonly (infer U)[] ? U : never;\nexport async function f(a: Array<{ id: number }>, b?: Record<string, unknown>): Promise<string[]> {\n  return a!.map((x) => [x as any, <const>['q'], { k: 1 } as const]);\n}\n"
 JAVA = 'package a.b;\nimport static a.Loader.*;\n\n@Deprecated(since = "1")\npublic class A<T extends B> {\n    private final Map<String, List<T>> m = new HashMap<>();\n    <U> U go(final List<? extends U> x) throws IOException {\n        for (var i : x) { if (i == null) continue; log.info("x } {}", \'{\'); }\n        String s = """\n            text "quoted" {\n            """;\n        return (U) x.get(0);\n    }\n}\n'
 
 
