@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,21 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = tempfile.mkdtemp(prefix="quarryline-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by writing df as Parquet under the shared folder and reading it again."""
+    """Cut lineage by writing df as Parquet under the shared folder and reading it again. The table goes when the driver's
+    Python ends in the usual way, for lazy results still read it before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
 
 
-def arrow_batch(spark: SparkSession, rows: int) -> None:
-    """Rows per Arrow batch handed to Python workers; long texts need small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone; the folder is then left to its owner
+        pass
 
 
 def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
