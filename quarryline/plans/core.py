@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarryline.operators.chunk_split import split_oversized
 from quarryline.operators.knn import nearest, similar_pairs
@@ -22,7 +23,7 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_topk(spark: SparkSession, base: str) -> DataFrame:
-    return nearest(table(spark, base, "embedded_chunks"))
+    return nearest(table(spark, base, "embedded_chunks")).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_topk": p5_topk}
@@ -48,5 +49,6 @@ d as (select s from latest where repo_id = 0)
 select distinct chunk_id from chunks c left join latest l using (repo_id)
 where length(content) > case when l.s > 0 then l.s else (select s from d) end
 """,
+    "p5_topk": _VECTORS + "select provider, model_version, vec_id, hit_no, neighbour, round(score, 6) as score from h",
     "p5_found": _VECTORS + "select distinct least(vec_id, neighbour) as vec_a, greatest(vec_id, neighbour) as vec_b from h where score >= 0.85",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from quarryline.operators import retrieval as R
 from quarryline.plans import pipelines
 from quarryline.plans.reference_scan import _LOC, ENDING, _map
 from quarryline.plans.registry import Registry, Tables
+from quarryline.sources.store import Store
+from quarryline.sources.tables import shared_dir
 
 query = Registry()
 #: Endings whose language the store infers when none is given.
@@ -357,3 +361,69 @@ def _(t: Tables) -> DataFrame:
     return t.files.where(F.col("last_modified") <= F.lit("2025-07-15").cast("timestamp_ntz")).groupBy("file_id").agg(F.max_by("hash", F.struct("last_modified", "hash")).alias("hash"))
 
 
+
+
+# ------------------------------------------------------------------ store
+
+
+def _store(t: Tables) -> Store:
+    return Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+
+
+def _vectors(t: Tables) -> DataFrame:
+    v = t.embedded_chunks.where("vec_id is not null and chunk_id is not null").groupBy("chunk_id").agg(F.max("embedding").alias("embedding"), F.max("provider").alias("provider"))
+    return v.select(F.lit("all").alias("repo_id"), "chunk_id", "embedding", "provider", F.lit(None).cast("string").alias("text_sha"))
+
+
+_STORED_VECTORS = "with v as (select chunk_id, max(embedding) as embedding, max(provider) as provider from embedded_chunks where vec_id is not null and chunk_id is not null group by 1) "
+
+
+@query("S15_vector_sink", _STORED_VECTORS + "select chunk_id, len(embedding) as dims, provider from v")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    store.replace("vectors", _vectors(t))
+    v = store.read("vectors")
+    return v.select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"), "provider")
+
+
+@query("S21_chunk_delete", _STORED_VECTORS + "select chunk_id from v where chunk_id not in (select chunk_id from chunks where repo_id <= 20)")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    store.replace("vectors", _vectors(t))
+    store.remove("vectors", t.chunks.where("repo_id <= 20"), "chunk_id")
+    return store.read("vectors").select("chunk_id")
+
+
+@query("S24_append", _STORED_VECTORS + "select chunk_id, provider from v union all select chunk_id, 'second' from v where provider = 'hashvec'")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    store.append("vectors", _vectors(t))
+    store.append("vectors", _vectors(t).where("provider = 'hashvec'").withColumn("provider", F.lit("second")))
+    return store.read("vectors").select("chunk_id", "provider")
+
+
+@query("S27_metadata_update", "select repo_id::varchar as repo_id, case when repo_id % 2 = 0 then 'new' else alias end as alias from repositories")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    none = lambda kind: F.lit(None).cast(kind)
+    r = t.repositories.select(F.col("repo_id").cast("string").alias("repo_id"), "alias", F.col("repository_path").alias("path"), none("string").alias("provider"), none("int").alias("dimensions"), none("bigint").alias("files"), none("bigint").alias("chunks"), F.col("last_indexed").cast("timestamp").alias("indexed_at"))
+    store.replace("repositories", r)
+    store.upsert("repositories", r.where("cast(repo_id as int) % 2 = 0").withColumn("alias", F.lit("new")), "repo_id")
+    return store.repositories()
+
+
+@query("T03_file_upsert", "select chunk_id, case when repo_id = 7 then 'changed' else relative_path end as rel_path from (select distinct chunk_id, repo_id, relative_path from chunks)")
+def _(t: Tables) -> DataFrame:
+    rows = t.chunks.select("chunk_id", "repo_id", F.col("relative_path").alias("rel_path")).distinct()
+    fresh = rows.where("repo_id = 7").withColumn("rel_path", F.lit("changed"))
+    return C.upserted(rows, fresh, "chunk_id").select("chunk_id", "rel_path")
+
+
+@query("T04_file_delete", "select distinct chunk_id from chunks where relative_path not in (select relative_path from files where file_id % 10 = 0)")
+def _(t: Tables) -> DataFrame:
+    return C.without(t.chunks.select("chunk_id", "relative_path"), t.files.where("file_id % 10 = 0"), "relative_path").select("chunk_id").distinct()
+
+
+@query("M13_migration", "select distinct c.chunk_id from chunks c where c.chunk_id not in (select entry_id from index_entries where entry_id is not null)")
+def _(t: Tables) -> DataFrame:
+    return C.without(t.chunks.select("chunk_id"), t.index_entries.select(F.col("entry_id").alias("chunk_id")), "chunk_id").distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +26,16 @@ class Store:
     sees half a change and a failed job leaves the version before."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self, name: str) -> Path | None:
-        mark = self.root / name / "CURRENT"
-        return self.root / name / mark.read_text().strip() if mark.exists() else None
+    def _path(self, *parts: str):
+        """A path and its file system, local or shared by the cluster."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _current(self, name: str) -> str | None:
+        mark, fs = self._path(name, "CURRENT")
+        return f"{self.root}/{name}/{self.spark.read.text(mark.toString()).first()[0]}" if fs.exists(mark) else None
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
@@ -40,7 +44,7 @@ class Store:
         """A table; empty with its schema where it was never written."""
         schema = T._parse_datatype_string(SCHEMAS[name])
         at = self._current(name)
-        return self.spark.read.schema(schema).parquet(str(at)) if at else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Write df (checked against the schema) as the new version of a table."""
@@ -48,9 +52,11 @@ class Store:
         typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         version = f"v-{uuid.uuid4().hex}"
         writer = typed.write.option("maxRecordsPerFile", 5_000_000)
-        (writer.partitionBy("repo_id") if "repo_id" in schema.names else writer).parquet(str(self.root / name / version))
-        (self.root / name / "CURRENT.new").write_text(version)
-        (self.root / name / "CURRENT.new").rename(self.root / name / "CURRENT")
+        (writer.partitionBy("repo_id") if "repo_id" in schema.names else writer).parquet(f"{self.root}/{name}/{version}")
+        mark, fs = self._path(name, "CURRENT")
+        out = fs.create(mark, True)
+        out.writeBytes(version)
+        out.close()
 
     def append(self, name: str, df: DataFrame) -> None:
         self.replace(name, self.read(name).unionByName(df.select(*self.read(name).columns)))
