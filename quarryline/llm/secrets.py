@@ -74,8 +74,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
-#: The field is fitted on the lines of at most so many chunks.
-FIT_CHUNKS = 12000
+#: The field is fitted on the lines of at most so many chunks of at most so many characters each; all chunks are searched.
+FIT_CHUNKS, FIT_LENGTH = 12_000, 20_000
 MASK = "*"
 
 _TOKEN = re.compile(
@@ -479,7 +479,7 @@ def find(text: str, field: Field) -> tuple[list[int], str]:
 
 def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
     """The field fitted on the lines with signals of at most `most` chunks, chosen by a hash of their id; the bound holds at any size."""
-    sample = bounded_sample(chunks.select("chunk_id", "start_line", F.substring("content", 1, 20000).alias("content")), ["chunk_id", "start_line"], most).where("content is not null")
+    sample = bounded_sample(chunks.select("chunk_id", "start_line", "content").where(F.length("content") <= FIT_LENGTH), ["chunk_id", "start_line"], most)
     lines, seen = [], set()
     for r in sample.toLocalIterator():
         for a, b in candidates(r["content"]):

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quarryline.sources.tables import bounded_sample
 
-#: Labelled documents the space is fitted on at most, its dimensions, and the rounds that refine the centroids.
-FIT_DOCUMENTS, DIMENSIONS, ROUNDS = 12_000, 64, 6
+#: Labelled documents the space is fitted on at most, the characters of each at most, its dimensions, and the rounds that refine the centroids.
+FIT_DOCUMENTS, FIT_LENGTH, DIMENSIONS, ROUNDS = 12_000, 20_000, 64, 6
 #: A passage counts for a subject from this cosine and length of its vector on; a subject is a main one from this share of the counting passages on.
 COSINE, WEIGHT, MAIN_SHARE = 0.3, 0.15, 0.25
 #: A term must stand in this many documents of the sample.
@@ -186,8 +186,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> list[
     best = votes.groupBy("doc_id").agg(F.max("n").alias("top"), F.collect_list(F.struct("n", "subject")).alias("all"))
     chosen = best.select("doc_id", F.transform(F.filter("all", lambda x: x["n"] == F.col("top")), lambda x: x["subject"]).alias("subjects"))
     chosen = bounded_sample(chosen, ["doc_id"], most)
-    rows = documents.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("text is not null")  # `most` rows
-    return [(r["text"][:20000], set(r["subjects"]), (r["lang"] or "")[:2].lower()) for r in rows.toLocalIterator()]
+    rows = documents.select("doc_id", "text", "lang").where(F.length("text") <= FIT_LENGTH).join(F.broadcast(chosen), "doc_id")  # `most` rows
+    return [(r["text"], set(r["subjects"]), (r["lang"] or "")[:2].lower()) for r in rows.toLocalIterator()]
 
 
 def document_frequency(documents: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
