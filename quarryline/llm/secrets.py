@@ -22,7 +22,7 @@ from quarryline.sources.tables import bounded_sample
 
 #: Parts of names that hold secrets, and parts that say a name holds something else.
 SECRET_NAME = re.compile(
-    r"pass(?:wd|word|phrase|code)?(?![a-z])|passw|pwd|(?:^|[_.\-])pw(?![a-z])|[a-z]Pw(?![a-z])|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|secret[_\-]?key|signing|encryption[_\-]?key|auth|bearer|credential|\bcreds?|kennwort|passwort|geheim|schl(?:ü|ue)ssel|mot[_\-]?de[_\-]?passe|mdp\b|jeton|clave|contrase(?:ñ|n)a|senha|parola|jwt|(?:^|[_.\-])pat\b|[a-z]Pat\b|key[_\-]?id|_key\b|[a-z]Key\b|\bpin\b",
+    r"pass(?:wd|word|phrase|code)?(?![a-z])|passw|pwd|(?:^|[_.\-])pw(?![a-z])|[a-z]Pw(?![a-z])|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|secret[_\-]?key|signing|encryption[_\-]?key|auth|bearer|credential|\bcreds?(?![a-z])|kennwort|passwort|geheim|schl(?:ü|ue)ssel|mot[_\-]?de[_\-]?passe|mdp\b|jeton|clave|contrase(?:ñ|n)a|senha|parola|jwt|(?:^|[_.\-])pat\b|[a-z]Pat\b|key[_\-]?id|_key\b|[a-z]Key\b|\bpin\b",
     re.I,
 )
 OTHER_NAME = re.compile(
@@ -38,15 +38,23 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 REFERENCE = re.compile(r"^\$|\$\{|\{\{|^%\(?\w|^%\w+%$|^@\w+@?$|^#\{|^ENC\[|^vault:|^secret[s]?[:/]|^ref\+|^arn:|^file:|^env[:.]|^op://|^ssm:|process\.env|os\.environ|getenv|<%|^!\w+ |^projects/")
-#: Literals (in lower case) that a line holding a secret has, with what must stand there in the text, if more is needed.
+#: A login told in words: a name and a value with a slash or colon between, after a word for it.
+SPOKEN = r"((?i:log-?in|sign-?in|credentials?|creds|account|user(?:name)?|zugang|anmeldung|identifiants?|acceso|usuario)(?:\s+(?:was|is|are|were|war|ist|lautet|était|est|era|es|data|details))?\s*:?)\s+([A-Za-z][\w.@\-]+)\s*[/:]\s+([^\s\"'`/][^\s\"'`]{5,})"
+#: Literals (in lower case) of which each line with a token that _usable or weak_labels accepts has one, with what must stand
+#: there in the text, if more is needed. They cover SECRET_NAME, FORMAT, the words before a value, USER_FLAGS and _SPOKEN; a
+#: check may look at the character after, for no token ends before a letter, digit or underscore, but not at the one before.
 SIGNALS = {
     "private key": None, "secret": None, "passw": None, "passphrase": None, "passcode": None, "passe": None, "pwd": None, "token": None, "kennwort": None, "geheim": None, "schlüssel": None, "schluessel": None,
-    "jeton": None, "clave": None, "contrase": None, "senha": None, "parola": None, "jwt": None, "mdp": None, "signing": None, "login": r"(?i:login)\s", "log-in": None, "sign-in": None, "account": r"(?i:account) +(?:was|is|are)", "zugang": None, "anmeldung": None, "identifiant": None, "bearer": None, "credential": None, "github_pat_": None, "glpat-": None, "whsec_": None, "xapp-": None, "aiza": None, "ya29.": None, "pypi-": None, "dop_v1_": None,
-    "pass": r"pass(?![a-z])|Pass(?![a-z])|PASS", "pw": r"(?i:pw)(?![A-Za-z])", "pat": r"(?i:pat)(?![A-Za-z])", "pin": r"(?i:pin)(?![A-Za-z])", "auth": r"(?i:auth(?!ors?\b|ored|oring))", "creds": r"(?i:creds)(?![A-Za-z])", "cred": r"(?i:cred)(?![A-Za-z])",
-    "key": r"Key|KEY|(?<=[_.\-])key|(?<=api)key|key(?=[_\-]?id)", "basic": r"(?i:basic) +[\w+/=]{8}", "://": r"://[^\s/\"'`:@]*:", "-u": r"(?<![\w\-])-u[ =]?[^\s:]+:", "--user": r"--user[ =][^\s:]+:", "--proxy-user": r"--proxy-user[ =][^\s:]+:",
-    "gho_": None, "ghp_": None, "ghu_": None, "ghs_": None, "ghr_": None, "xox": r"xox[abeoprs]-", "k_live_": None, "k_test_": None, "k_prod_": None, "sg.": r"SG\.[\w\-]{8}", "akia": r"AKIA[A-Z0-9]", "asia": r"ASIA[A-Z0-9]{8}", "abia": r"ABIA[A-Z0-9]{8}", "acca": r"ACCA[A-Z0-9]{8}",
-    "npm_": r"npm_\w{20}", "hf_": r"hf_\w{20}", "shpat_": None, "shpss_": None, "shpca_": None, "sk-": r"(?<!\w)sk-[\w\-]{20}", "key-": r"key-[0-9a-f]{32}", "eyj": r"eyJ[\w\-]{8}", "ac": r"(?<!\w)AC[0-9a-f]{32}",
+    "jeton": None, "clave": None, "contrase": None, "senha": None, "parola": None, "jwt": None, "mdp": None, "signing": None, "log-in": None, "sign-in": None, "zugang": None, "anmeldung": None, "identifiant": None, "bearer": None, "credential": None, "key": None,
+    "pass": r"(?i:pass)(?![a-z])|PASS", "pw": r"(?i:pw)(?![A-Za-z])", "pat": r"(?i:pat)(?![A-Za-z])", "pin": r"(?i:pin)(?![A-Za-z])", "cred": r"(?i:creds?)(?![A-Za-z])", "auth": r"(?i:auth(?!ors?\b|ored|oring))",
+    "login": rf"(?i:login)\s|{SPOKEN}", "signin": SPOKEN, "account": rf"(?i:account) +(?:was|is|are)|{SPOKEN}", "user": SPOKEN, "usuario": SPOKEN, "acceso": SPOKEN,
+    "basic": r"(?i:basic)\s+\S", "://": r"://[^\s/\"'`:@]*:", "-u": r"(?<![\w\-])-u(?:[ =]?[^\s:]+:|(?![\w\-])[^\n]*?[^\s:\"'`/]:[^\s\"'`])", "--user": r"--user(?![\w\-])[^\n]*?[^\s\"'`/]:", "--proxy-user": r"--proxy-user(?![\w\-])[^\n]*?[^\s\"'`/]:",
+    "gho_": None, "ghp_": None, "ghu_": None, "ghs_": None, "ghr_": None, "github_pat_": None, "glpat-": None, "whsec_": None, "xapp-": None, "aiza": None, "ya29.": None, "pypi-": None, "dop_v1_": None, "xox": r"xox[abeoprs]-", "k_live_": None, "k_test_": None, "k_prod_": None, "sg.": r"SG\.[\w\-]{8}",
+    "akia": r"AKIA[A-Z0-9]", "asia": r"ASIA[A-Z0-9]{8}", "abia": r"ABIA[A-Z0-9]{8}", "acca": r"ACCA[A-Z0-9]{8}", "npm_": r"npm_\w{20}", "hf_": r"hf_\w{20}", "shpat_": None, "shpss_": None, "shpca_": None, "sk-": r"sk-[\w\-]{20}", "eyj": r"eyJ[\w\-]{8}", "ac": r"AC[0-9a-f]{32}",
+    "+": r"\+[^\S\n]*[\"'`]",
 }
+#: Where a plus joins two literals: a published form may stand in both.
+_JOINT = re.compile(r"[^\S\n]*[\"'`][^\S\n]*\+[^\S\n]*[\"'`][^\S\n]*")
 
 
 @functools.cache
@@ -63,13 +71,22 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
-    done = -1
+    if not low.isascii():  # letters that regular expressions without case take for i and s
+        low = low.replace("ı", "i").replace("İ", "i").replace("ſ", "s")
+    done = tried = -1
     for end, (size, check) in _signals().iter(low):
         at = end - size + 1
         if at > done and (check is None or check(text, at)):
-            stop = text.find("\n", at)
-            done = len(text) if stop < 0 else stop
-            yield text.rfind("\n", 0, at) + 1, done
+            start, stop = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            if low[at] == "+":
+                if at <= tried:
+                    continue
+                tried = stop
+                if not FORMAT.search(_JOINT.sub("", text[start:stop])):
+                    continue
+            done = stop
+            yield start, stop
 
 
 BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
@@ -85,8 +102,7 @@ _TOKEN = re.compile(
 
 
 USER_FLAGS = ("-u", "--user", "--proxy-user")
-#: A login told in words: a name and a value with a slash or colon between, after a word for it.
-_SPOKEN = re.compile(r"((?i:log-?in|sign-?in|credentials?|creds|account|user(?:name)?|zugang|anmeldung|identifiants?|acceso|usuario)(?:\s+(?:was|is|are|were|war|ist|lautet|était|est|era|es|data|details))?\s*:?)\s+([A-Za-z][\w.@\-]+)\s*[/:]\s+([^\s\"'`/][^\s\"'`]{5,})").match
+_SPOKEN = re.compile(SPOKEN).match
 _PAIR = re.compile(r"([^\s:\"'`/]+):([^\s\"'`]+)").match
 
 
@@ -407,6 +423,11 @@ def _usable(t: Token) -> bool:
     return bool(v) and not _blank(v) and (bool(FORMAT.match(v)) or t.before in ("login", "bearer", "basic") or _owner(t.name) == "secret" or t.before in ("token", "password", "passphrase", "secret", "key") and len(v) >= 20)
 
 
+def has_usable(line: list[Token]) -> bool:
+    """Whether the field has anything to decide in a line. It is fitted on such lines only, as it is asked about no others."""
+    return any(t.kind in ("value", "word") and _usable(t) for t in line)
+
+
 def key_blocks(text: str) -> list[tuple[int, int, int]]:
     """(start of the marker, start and end of what is masked) of private key blocks; the start is -1 where only the end is in the text."""
     out, pos = [], 0
@@ -457,6 +478,8 @@ def find(text: str, field: Field) -> tuple[list[int], str]:
         if "-----BEGIN" in text[at:stop] or "-----END" in text[at:stop]:
             continue
         line = tokens(text[at:stop])
+        if not has_usable(line):
+            continue
         labels, i = field.decode(line), 0
         while i < len(line):
             chain = [i]  # a value and the literals joined to it are masked as one
@@ -487,7 +510,7 @@ def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
             if len(x) < 2000 and x not in seen:
                 seen.add(x)
                 lines.append(tokens(x))
-    return fit(lines)
+    return fit([x for x in lines if has_usable(x)])
 
 
 def find_secrets(chunks: DataFrame, field: Field | None = None) -> DataFrame:
