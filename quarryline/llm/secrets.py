@@ -428,6 +428,58 @@ def has_usable(line: list[Token]) -> bool:
     return any(t.kind in ("value", "word") and _usable(t) for t in line)
 
 
+#: A line of key material, the shorter last one, a run of such lines, and what closes the literal after a last marker.
+MATERIAL = r"[\s\"'`+\\]*[A-Za-z0-9+/=]{16,}(?:\\n)?[\s\"'`+;]*"
+_MATERIAL, _SHORT = re.compile(MATERIAL), re.compile(r"[\s\"'`+\\]*(?:[A-Za-z0-9+/=]{4})+(?:\\n)?[\s\"'`+;]*")
+_TAIL = re.compile(r"(?:[\s\"'`+\\]|\\n)*(?:[A-Za-z0-9+/=]{16,}(?:[\s\"'`+\\]|\\n)*)*")
+_CLOSE = re.compile(r"(?:\\n|\\r|[^\S\n])*[\"'`]?")
+_MARKER = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
+
+
+def leading_material(text: str) -> int:
+    """The length of the lines of key material a text begins with; a short one counts as the last of the text."""
+    pos = 0
+    while pos < len(text):
+        stop = text.find("\n", pos)
+        stop = len(text) if stop < 0 else stop
+        line = text[pos:stop]
+        if line.strip() and not _MATERIAL.fullmatch(line) and not (pos and not text[stop:].strip() and _SHORT.fullmatch(line)):
+            return pos
+        pos = stop + 1
+    return len(text)
+
+
+def key_edges(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text ends inside a private key block, is nothing but key material, and begins inside a block that it ends."""
+    first, last = BEGIN.search(text), None
+    for last in BEGIN.finditer(text):
+        pass
+    end = END.search(text)
+    opens = last is not None and END.search(text, last.end()) is None and _within(text[last.end() :])
+    closes = end is not None and (first is None or end.start() < first.start()) and _within(text[: end.start()])
+    return opens, bool(text.strip()) and _within(text), closes
+
+
+def _within(text: str) -> bool:
+    """Whether all lines of a part of a block are key material or its headers."""
+    return all(not x.strip(" \t\r\"'`+\\;n") or _MATERIAL.fullmatch(x) or re.fullmatch(r"[\w\-]+: [^\n]*", x) or _SHORT.fullmatch(x) for x in text.split("\n"))
+
+
+def key_regions(text: str, blocks: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What key blocks and other blocks between such markers (public keys, certificates) cover, markers included, in order."""
+    out = []
+    for s, a, b in blocks:
+        m = END.match(text, b)
+        out.append((s if s >= 0 else a, m.end() if m else b))
+    if "-----" in text:
+        for m in _MARKER.finditer(text):
+            end = m.end()
+            if m[1] == "BEGIN":
+                end = _TAIL.match(text, end).end()
+            out.append((m.start(), end))
+    return sorted(out)
+
+
 def key_blocks(text: str) -> list[tuple[int, int, int]]:
     """(start of the marker, start and end of what is masked) of private key blocks; the start is -1 where only the end is in the text."""
     out, pos = [], 0
@@ -436,8 +488,8 @@ def key_blocks(text: str) -> list[tuple[int, int, int]]:
     if head and (not first or head.start() < first.start()):
         lines = text[: head.start()].split("\n")
         size = len(lines[-1])
-        for x in reversed(lines[:-1]):
-            if not re.fullmatch(r"[\s\"'`+\\]*[A-Za-z0-9+/=]{16,}(?:\\n)?[\s\"'`+\;]*", x):
+        for i, x in enumerate(reversed(lines[:-1])):
+            if not _MATERIAL.fullmatch(x) and (i or not _SHORT.fullmatch(x)):
                 break
             size += len(x) + 1
         out.append((-1, head.start() - size, head.start()))
@@ -449,8 +501,7 @@ def key_blocks(text: str) -> list[tuple[int, int, int]]:
             end = stop.start()
             pos = stop.end()
         else:  # the end is missing: the lines that look like key material
-            tail = re.compile(r"(?:[\s\"'`+\\]|\\n)*(?:[A-Za-z0-9+/=]{16,}(?:[\s\"'`+\\]|\\n)*)*").match(text, m.end())
-            end = pos = tail.end()
+            end = pos = _TAIL.match(text, m.end()).end()
         body = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", text[m.end() : end])
         if len(body) >= 16 and not PLACEHOLDER.search(body[:64]) or end >= len(text) - 1:
             out.append((m.start(), m.end(), end))
@@ -460,22 +511,27 @@ def key_blocks(text: str) -> list[tuple[int, int, int]]:
 _CLEAN = re.compile(r"(?:\\n|\\r)|[A-Za-z0-9+/=]+")
 
 
-def find(text: str, field: Field) -> tuple[list[int], str]:
-    """(offsets at which a secret starts, text with the secrets masked): each masked character becomes one MASK."""
+def find(text: str, field: Field, inside: bool = False) -> tuple[list[int], str]:
+    """(offsets at which a secret starts, text with the secrets masked): each masked character becomes one MASK. `inside` says
+    that the text goes on from a private key block, or is a part of one, whose first marker is elsewhere."""
     starts: list[int] = []
     spans: list[tuple[int, int]] = []
     blocks = key_blocks(text)
+    if inside and (size := leading_material(text)):
+        blocks = [(-1, 0, size), *blocks]
     for s, a, b in blocks:
         if s >= 0:
             starts.append(s)
         for m in _CLEAN.finditer(text, a, b):
             if not m[0].startswith("\\"):
                 spans.append(m.span())
-    covered = [(s if s >= 0 else a, b) for s, a, b in blocks]
+    covered = key_regions(text, blocks)
     for at, stop in candidates(text):
-        if any(a <= at < b for a, b in covered):
-            continue
-        if "-----BEGIN" in text[at:stop] or "-----END" in text[at:stop]:
+        near = [(a, b) for a, b in covered if a < stop and b > at]
+        for a, b in near:
+            if a < at:  # what follows a block of earlier lines, after the quote that closes it
+                at = max(at, _CLOSE.match(text, b, max(b, stop)).end())
+        if at >= stop:
             continue
         line = tokens(text[at:stop])
         if not has_usable(line):
@@ -485,7 +541,8 @@ def find(text: str, field: Field) -> tuple[list[int], str]:
             chain = [i]  # a value and the literals joined to it are masked as one
             while chain[-1] + 4 < len(line) and line[chain[-1]].joined and line[chain[-1] + 4].joined == 2:
                 chain.append(chain[-1] + 4)
-            if line[i].kind in ("value", "word") and any(labels[k] for k in chain) and _usable(line[i]):
+            apart = not any(a < at + line[k].end and b > at + line[k].start for k in chain for a, b in near)
+            if apart and line[i].kind in ("value", "word") and any(labels[k] for k in chain) and _usable(line[i]):
                 starts.append(at + line[i].start)
                 spans += [(at + line[k].start, at + line[k].end) for k in chain]
             i = chain[-1] + 1
@@ -513,13 +570,76 @@ def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
     return fit([x for x in lines if has_usable(x)])
 
 
+def with_neighbours(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, start_line, content, inside): inside for chunks that begin with key material which goes on from a private
+    key block of the chunks before, or into one of the chunks after, in the same version of the file.
+
+    Only what begins with key material or has a marker is gathered by file, without its content; only the former is joined.
+    """
+    plain = [F.col("chunk_id"), F.col("start_line"), F.col("content")]
+    if not {"file_id", "file_hash"} <= set(chunks.columns):
+        return chunks.select(*plain, F.lit(False).alias("inside"))
+    keys = ["file_id", "file_hash", "start_line"]
+    begins = F.col("content").rlike(rf"\A{MATERIAL}(?:\n|\z)") & F.col("file_id").isNotNull() & F.col("file_hash").isNotNull() & F.col("start_line").isNotNull()
+    begins = F.coalesce(begins, F.lit(False))
+    schema = pa.schema([("file_id", pa.int64()), ("file_hash", pa.string()), ("start_line", pa.int32()), ("last_line", pa.int32()), ("opens", pa.bool_()), ("whole", pa.bool_()), ("closes", pa.bool_())])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, h, s, s + t.count("\n"), *key_edges(t)) for f, h, s, t in zip(*(b.column(i).to_pylist() for i in range(4)))]
+            rows = [r for r in rows if any(r[4:])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, h, s) for f, h, parts in zip(*(b.column(i).to_pylist() for i in range(3))) for s in inside_lines([tuple(x.values()) for x in parts])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*rows))], names=keys)
+
+    near = chunks.where((begins | F.col("content").contains("PRIVATE KEY")) & F.col("file_id").isNotNull() & F.col("file_hash").isNotNull() & F.col("start_line").isNotNull())
+    parts = near.select(*keys, "content").mapInArrow(edges, "file_id long, file_hash string, start_line int, last_line int, opens boolean, whole boolean, closes boolean")
+    lists = parts.groupBy("file_id", "file_hash").agg(F.sort_array(F.collect_set(F.struct("start_line", "last_line", "opens", "whole", "closes"))).alias("parts"))
+    # a chunk that begins with material and goes on otherwise is no part, but may follow one
+    follow = chunks.where(begins).select(*keys).distinct().groupBy("file_id", "file_hash").agg(F.collect_set("start_line").alias("heads"))
+    lists = lists.join(follow, ["file_id", "file_hash"]).select("file_id", "file_hash", F.sort_array(F.concat("parts", F.transform(F.array_except("heads", F.col("parts.start_line")), lambda s: F.struct(s.alias("start_line"), s.alias("last_line"), F.lit(False).alias("opens"), F.lit(False).alias("whole"), F.lit(False).alias("closes"))))).alias("parts"))
+    inside = lists.mapInArrow(chained, "file_id long, file_hash string, start_line int").withColumn("inside", F.lit(True))
+    joined = chunks.where(begins).select(*keys, "chunk_id", "content").join(inside, keys, "left").select(*plain, F.coalesce("inside", F.lit(False)).alias("inside"))
+    return chunks.where(~begins).select(*plain, F.lit(False).alias("inside")).unionByName(joined)
+
+
+def inside_lines(parts: list[tuple[int, int, bool, bool, bool]]) -> list[int]:
+    """First lines of the parts (first line, last line, opens, whole, closes; sorted) that belong to a block of their neighbours."""
+    out: set[int] = set()
+    reach = None  # the last line of the open block
+    for s, e, opens, whole, _ in parts:
+        follows = reach is not None and s <= reach + 1
+        if follows:
+            out.add(s)
+        if opens or follows and whole:
+            reach = max(e, reach or e)
+        elif not (follows and e <= reach):
+            reach = None
+    need = None  # the first line of the block that ends below
+    for s, e, _, whole, closes in reversed(parts):
+        if need is not None and whole and e + 1 >= need:
+            out.add(s)
+            need = s
+        elif closes:
+            need = s
+        elif need is not None and not whole:
+            need = None
+    return sorted(out)
+
+
 def find_secrets(chunks: DataFrame, field: Field | None = None) -> DataFrame:
     """(chunk_id, line_nos, masked): for every chunk that holds a secret, the file's lines at which one starts and the masked content.
 
     Every masked character is replaced by one `*`, so lines, quotes and all other characters keep their places. Repeated
     rows with the same chunk_id, start_line and content count once. Null content gives no row, a null start_line counts as
-    1, chunk_id may be null. Empty tables give no rows; other columns are ignored. A block whose first marker is in an
-    earlier chunk is masked here but starts there.
+    1, chunk_id may be null. Empty tables give no rows. A block whose first marker is in an earlier chunk is masked here but
+    starts there; for chunks that hold no marker of it, file_id and file_hash, where the table has them, say whose
+    neighbours they are. Other columns are ignored.
     """
     field = field or fit_on(chunks)
     schema = pa.schema([("chunk_id", pa.string()), ("start_line", pa.int32()), ("line_nos", pa.list_(pa.int32())), ("masked", pa.string())])
@@ -527,13 +647,13 @@ def find_secrets(chunks: DataFrame, field: Field | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for cid, line, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                starts, masked = find(text, field)
+            for cid, line, text, inside in zip(*(b.column(i).to_pylist() for i in range(4))):
+                starts, masked = find(text, field, inside)
                 if starts or masked != text:
                     ends = [m.start() for m in re.finditer("\n", text)]
                     rows.append((cid, line, sorted({(1 if line is None else line) + bisect_right(ends, s - 1) for s in starts}), masked))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    hits = chunks.where("content is not null").select("chunk_id", "start_line", "content").mapInArrow(run, "chunk_id string, start_line int, line_nos array<int>, masked string")
+    hits = with_neighbours(chunks.where("content is not null")).mapInArrow(run, "chunk_id string, start_line int, line_nos array<int>, masked string")
     return hits.groupBy("chunk_id", "start_line", "line_nos", "masked").agg(F.lit(1)).select("chunk_id", "line_nos", "masked")
