@@ -21,7 +21,7 @@ from quarryline.sources.tables import bounded_sample, written
 #: Rows the forest is fitted on at most, its size, and the share of trees that decides. Files without a notice count as
 #: hand-written in the fit though some are not, so the share is below one half.
 FIT_FILES, TREES, DEPTH, SHARE = 20_000, 30, 6, 0.25
-#: A text must have this many characters to be compared with those of other repositories.
+#: One of the equal texts of several repositories must have this many characters, its white space included.
 COPY_LENGTH = 200
 
 #: How header notices say that a file is machine-made, or taken over from a third party.
@@ -93,7 +93,10 @@ def label(header: str, body: str, f: list[float]) -> tuple[int | None, str]:
 
 
 def described_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, repo_id, relative_path, size, language, features, label, notice, hash, mark, length, text) of current texts."""
+    """(file_id, repo_id, relative_path, size, language, features, label, notice, hash, mark, same, length, text) of current texts.
+
+    hash, mark and same (the length) are of the body with its white space made one blank each; length is of the body as it is.
+    """
     arrow = pa.schema(
         [("file_id", pa.int64()), ("repo_id", pa.int32()), ("relative_path", pa.string()), ("size", pa.int64()), ("language", pa.string()), ("features", pa.list_(pa.float64())), ("label", pa.int32()), ("notice", pa.string()), ("body", pa.string()), ("length", pa.int64()), ("text", pa.string())]
     )
@@ -105,7 +108,7 @@ def described_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
         yield file_id, repo_id, path, size, language, f, y, notice, re.sub(r"\s+", " ", body), len(body), text
 
     rows = map_texts(current_chunks(files, chunks), each, "file_id long, repo_id int, relative_path string, size long, language string, features array<double>, label int, notice string, body string, length long, text string", arrow)
-    return rows.select("file_id", "repo_id", "relative_path", "size", "language", "features", "label", "notice", F.xxhash64("body").alias("hash"), F.hash("body").alias("mark"), "length", "text")
+    return rows.select("file_id", "repo_id", "relative_path", "size", "language", "features", "label", "notice", F.xxhash64("body").alias("hash"), F.hash("body").alias("mark"), F.length("body").cast("long").alias("same"), "length", "text")
 
 
 def foreign_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -129,10 +132,10 @@ def foreign_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
         scored = model.transform(plain).withColumn("share", vector_to_array("probability")[1])
     else:
         scored = plain.withColumn("share", F.lit(1.0 if kinds == [1.0] else 0.0))
-    copies = all_.where(F.col("length") >= COPY_LENGTH).groupBy("hash", "mark", "length").agg(F.min("repo_id").alias("_a"), F.max("repo_id").alias("_b")).where("_a <> _b").select("hash", "mark", "length", F.lit(True).alias("copied"))
+    copies = all_.groupBy("hash", "mark", "same").agg(F.min("repo_id").alias("_a"), F.max("repo_id").alias("_b"), F.max("length").alias("_n")).where((F.col("_a") != F.col("_b")) & (F.col("_n") >= COPY_LENGTH)).select("hash", "mark", "same", F.lit(True).alias("copied"))
     found = (
-        scored.select("file_id", "share", "notice", "hash", "mark", "length")
-        .join(copies, ["hash", "mark", "length"], "left")
+        scored.select("file_id", "share", "notice", "hash", "mark", "same", "length")
+        .join(copies, ["hash", "mark", "same"], "left")
         .where(((F.col("share") >= SHARE) & (F.col("length") >= 40)) | ((F.col("notice") != "") & (F.col("length") > 0)) | F.col("copied"))
         .select("file_id", "share", "notice", F.coalesce("copied", F.lit(False)).alias("copied"))
     )
