@@ -558,8 +558,15 @@ def find(text: str, field: Field, inside: bool = False) -> tuple[list[int], str]
 
 
 def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
-    """The field fitted on the lines with signals of at most `most` chunks, chosen by a hash of their id; the bound holds at any size."""
-    sample = bounded_sample(chunks.select("chunk_id", "start_line", "content").where(F.length("content") <= FIT_LENGTH), ["chunk_id", "start_line"], most)
+    """The field fitted on the lines with signals of at most `most` chunks, chosen by a hash of their id; the bound holds at any size.
+
+    Repeated rows count once: what the sample is taken from are keys and the content's hash, and only its rows are read again.
+    """
+    keys = ["chunk_id", "start_line", "_c"]
+    rows = chunks.where(F.length("content") <= FIT_LENGTH).select("chunk_id", "start_line", F.xxhash64("content").alias("_c"), "content")
+    chosen = bounded_sample(rows.select(*keys).groupBy(*keys).agg(F.lit(1).alias("_n")).select(*keys), keys, most).select(*(F.col(k).alias("s" + k) for k in keys))
+    same = [F.col(k).eqNullSafe(F.col("s" + k)) for k in keys]
+    sample = rows.join(F.broadcast(chosen), same[0] & same[1] & same[2]).groupBy(*keys).agg(F.min("content").alias("content")).orderBy(F.xxhash64(*keys))  # `most` rows
     lines, seen = [], set()
     for r in sample.toLocalIterator():
         for a, b in candidates(r["content"]):
