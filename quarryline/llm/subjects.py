@@ -217,7 +217,7 @@ def document_frequency(documents: DataFrame, vocabulary: list[str]) -> tuple[dic
 
 def fit_on(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most: int = FIT_DOCUMENTS) -> Space:
     """The space fitted on a bounded labelled sample, weighted by frequencies over all documents."""
-    described = {r["subject"]: r["description"] or "" for r in subjects.where("subject is not null").limit(1000).collect()}  # the list of subjects
+    described = {r["subject"]: r["description"] or "" for r in subjects.where("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).collect()}  # the list of subjects, each once
     sample = labelled_sample(documents, labels, most)
     seen = Counter(w for t, _, _ in sample for w in set(words(unicodedata.normalize("NFC", t))))
     vocabulary = sorted(w for w, n in seen.items() if n >= LEAST and len(w) > 1)
