@@ -276,10 +276,19 @@ def _(t: Tables) -> DataFrame:
     return out
 
 
+def _each_language(t: Tables, one) -> DataFrame:
+    """What `one` makes of the chunks with text, language by language as their paths say; languages without patterns go as ""."""
+    rows = t.chunks.where("content is not null").withColumn("_l", F.coalesce(X.language(F.col("relative_path")), F.lit("unknown")))
+    known = [k for k in N.PATTERNS if k]
+    out = one(rows.where(~F.col("_l").isin(known)), "")
+    for k in known:
+        out = out.unionByName(one(rows.where(F.col("_l") == k), k))
+    return out
+
+
 @query("K01_structure_kind")
 def _(t: Tables) -> DataFrame:
-    rows = t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".py"))
-    return N.structure(rows, "content", "python").select("chunk_id", "kind", F.size("functions").alias("functions"), F.size("imports").alias("imports"))
+    return _each_language(t, lambda rows, k: N.structure(rows, "content", k or "unknown").select("chunk_id", "kind", F.size("functions").alias("functions"), F.size("imports").alias("imports")))
 
 
 @query("K09_generic_comments", r"select chunk_id, len(regexp_extract_all(content, '(?m)//.*$')) + len(regexp_extract_all(content, '/\*[\s\S]*?\*/')) as c_style, len(regexp_extract_all(content, '(?m)#.*$')) as hash, len(regexp_extract_all(content, '(?m)--.*$')) as dash from chunks where content is not null")
@@ -291,14 +300,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("K15_parameters")
 def _(t: Tables) -> DataFrame:
-    rows = t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".ts"))
+    rows = t.chunks.where("content is not null")
     inside = F.explode(F.regexp_extract_all("content", F.lit(r"function\s+\w+\s*\(([^)]*)\)"), 1)).alias("parameters")
     return rows.select("chunk_id", inside).select("chunk_id", "parameters", N.split_parameters(F.col("parameters")).alias("parts"))
 
 
 @query("J12_call_edges")
 def _(t: Tables) -> DataFrame:
-    return N.call_edges(t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".py")), "chunk_id", "content", "python")
+    return _each_language(t, lambda rows, k: N.call_edges(rows, "chunk_id", "content", k))
 
 
 FLOWS = [
