@@ -17,9 +17,12 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is configured."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is named, a local session gets one of its own, which
+    goes with the driver; a cluster has no such folder to fall back to, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quarryline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
