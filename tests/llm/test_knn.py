@@ -44,8 +44,8 @@ def test_equals_brute_force(spark):
 
 
 def test_many_blocks_and_a_floor(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK", 32)
-    monkeypatch.setattr(knn, "STRIP", 64)
+    monkeypatch.setattr(knn, "PART", 32)
+    monkeypatch.setattr(knn, "LARGEST_PART", 64)
     rows = sample(300, 8, 5)
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(nearest(df, 3, dim=8)) == brute(rows, 3, 8)
