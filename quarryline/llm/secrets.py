@@ -22,7 +22,7 @@ from quarryline.sources.tables import bounded_sample
 
 #: Parts of names that hold secrets, and parts that say a name holds something else.
 SECRET_NAME = re.compile(
-    r"pass(?:wd|word|phrase|code)?(?![a-z])|passw|pwd|(?:^|[_.\-])pw(?![a-z])|[a-z]Pw(?![a-z])|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|secret[_\-]?key|signing|encryption[_\-]?key|auth|bearer|credential|\bcreds?(?![a-z])|kennwort|passwort|geheim|schl(?:ü|ue)ssel|mot[_\-]?de[_\-]?passe|mdp\b|jeton|clave|contrase(?:ñ|n)a|senha|parola|jwt|(?:^|[_.\-])pat\b|[a-z]Pat\b|key[_\-]?id|_key\b|[a-z]Key\b|\bpin\b",
+    r"pass(?:wd|word|phrase|code)?(?![a-z])|passw|pwd|(?:^|[_.\-])pw(?![a-z])|[a-z]Pw(?![a-z])|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|secret[_\-]?key|signing|encryption[_\-]?key|auth|bearer|credential|\bcreds?(?![a-z])|kennwort|passwort|geheim|schl(?:ü|ue)ssel|mot[_\-]?de[_\-]?passe|mdp\b|jeton|clave|contrase(?:ñ|n)a|senha|parola|jwt|(?:^|[_.\-])pat\b|[a-z]Pat\b|key[_\-]?id|_key(?![a-z])|[a-z]Key(?![a-z])|\bpin\b",
     re.I,
 )
 OTHER_NAME = re.compile(
@@ -233,7 +233,7 @@ def tokens(line: str) -> list[Token]:
         out[i].joined = out[i].joined or 1
     chain: list[Token] = []
     # values that a plus joins are one
-    for t in [*out, Token(0, 0, "", "")]:
+    for t in [*out, Token(0, 0, "", "value")]:
         if t.kind in ("value", "word"):
             if t.joined == 2 and chain:
                 chain.append(t)
@@ -265,6 +265,7 @@ _SHAPES = (
     ("hex", re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")),
     ("lower", re.compile(r"[a-zà-ÿ]+")),
     ("title", re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]+")),
+    ("capitals", re.compile(r"[A-Z]{12,}")),
     ("upper", re.compile(r"[A-Z_]+")),
     ("words", re.compile(r"[A-Za-z]+(?:[-_. ][A-Za-z]+)+")),
     ("words and number", re.compile(r"[A-Za-z]+(?:[-_.][A-Za-z]+)+[-_.]?\d+")),
@@ -276,12 +277,10 @@ _SHAPES = (
 def _scrambled(s: str) -> bool:
     """Whether the parts of a name or phrase are no words: of three letters or more without a vowel, or capitals inside."""
     parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
-    return len(s) >= 8 and (sum(1 for x in parts if len(x) > 2 and not re.search(r"[aeiouyAEIOUY]", x)) > 0 and len(parts) > 2 or len(parts) > 3 and sum(map(len, parts)) / len(parts) < 2.7)
+    return len(s) >= 8 and (sum(1 for x in parts if len(x) > 2 and not re.search(r"[aeiouyAEIOUY]", x)) > 0 and len(parts) > 2 or len(parts) > 3 and sum(map(len, parts)) / len(parts) < 3)
 
 
 def shape(s: str) -> str:
-    if FORMAT.match(s):
-        return "format"
     for k, r in _SHAPES:
         if r.fullmatch(s) and not (k in ("words", "name") and _scrambled(s)) and not (k == "path" and len(s) >= 30 and re.search(r"\d", s) and re.search(r"[A-Z]", s)):
             return k
@@ -298,40 +297,93 @@ def _blank(value: str) -> bool:
     return bool(PLACEHOLDER.search(value) or REFERENCE.search(value) or value.startswith("-----"))
 
 
-def features(line: list[Token]) -> list[list[str]]:
-    """Shape and context features of each token."""
+_PARTS = re.compile(r"[A-ZÀ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-Þ]?[a-zß-ÿ]+")
+_RUNS = re.compile(r"([a-zß-ÿ])[a-zß-ÿ]+|([A-ZÀ-Þ])[A-ZÀ-Þ]+|(\d)\d+")
+
+
+def parts(name: str) -> list[str]:
+    """The words of a name, without their digits, in lower case."""
+    return [x.lower() for x in _PARTS.findall(name)]
+
+
+def _value_features(v: str, t: Token) -> list[str]:
+    """What the characters of a value look like; nothing here knows a published form."""
+    s, n = shape(v), len(v)
+    size = "0" if n < 4 else "4" if n < 6 else "6" if n < 8 else "8" if n < 12 else "12" if n < 16 else "16" if n < 20 else "20" if n < 32 else "32" if n < 48 else "48" if n < 72 else "72" if n < 128 else "128"
+    letters = sum(map(str.isalpha, v))
+    vowels = sum(map(v.lower().count, "aeiou")) * 8 // max(1, letters)
+    digits = sum(map(str.isdigit, v)) * 8 // max(1, n)
+    runs = _RUNS.sub(lambda m: "a" if m[1] else "A" if m[2] else "0", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in v[:64]))
+    turns = len(runs) * 8 // min(n, 64) if n else 0
+    code = "".join(c for c in "()[].$<>+/=" if c in v)
+    return [f"s={s}", f"n={size}", f"e={int(entropy(v) * 2)}", f"w={vowels}", f"d={digits}", f"t={turns}", f"c={code}", f"c={code},n={size}", f"q={t.quoted}", f"u={runs[:6]}" if n < 16 else "u=", f"s={s},n={size}", f"s={s},q={t.quoted}", f"s={s},d={digits}", f"n={size},t={turns}", f"c={code},q={t.quoted}", f"u0={v[:1] if not v[:1].isalnum() else ''}"]
+
+
+def _context_features(line: list[Token], i: int) -> list[str]:
+    """The words of the name a value is given to, the word before it, and the tokens around it."""
+    t = line[i]
+    words, f = parts(t.name), []
+    for w in words:
+        f += [f"w:{w}", f"w4:{w[:4]}"]
+    last = words[-1] if words else ""
+    two, s = " ".join(words[-2:]), shape(t.whole)
+    f += [f"l:{last}", f"l2:{two}", f"l3:{last[-4:]}", f"l:{last},s={s}", f"l2:{two},s={s}", f"w0:{bool(words)}", f"w0:{bool(words)},s={s}"]
+    before = t.before if t.before.startswith("-") or t.before.isalpha() and len(t.before) <= 12 else "other" if t.before else ""
+    near = [("" if not 0 <= k < len(line) else line[k].kind if line[k].kind in ("value", "word", "name", "user", "flag", "url") else line[k].text[:3]) for k in (i - 2, i - 1, i + 1)]
+    f += [f"b:{before}", f"b:{before},q={t.quoted}", f"b:{before},s={s}", f"b:{before},n={len(t.whole) // 8}", f"j={t.joined}", f"j={t.joined},l:{last}"]
+    f += [f"p2:{near[0]}", f"p1:{near[1]}", f"f1:{near[2]}", f"p:{near[0]} {near[1]}", f"p:{near[0]} {near[1]},s={s}", f"a:{near[1]} {near[2]}", f"a:{near[1]} {near[2]},w0:{bool(words)},s={s}"]
+    return f
+
+
+def features(line: list[Token], context: bool = True) -> list[list[str]]:
+    """Shape and context features of each token: characters of values, words of names, neighbours. No list of names, no
+    published form and no login rule, from which the labels come, is seen; without `context` nothing but the values is."""
     out = []
     for i, t in enumerate(line):
-        f = ["bias", "k=" + t.kind]
         if t.kind in ("value", "word", "user"):
-            v = t.whole
-            s, n = shape(v), len(v)
-            size = "0" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16" if n < 32 else "32"
-            owner, blank = _owner(t.name), _blank(v)
-            role = t.before if t.before in ("login", "bearer", "basic", "-u", "--password", "--pass", "--token", "-p", "token", "url") else "word" if t.before else ""
-            f += [f"s={s}", f"n={size}", f"o={owner}", f"r={role}", f"p={blank}", f"e={int(entropy(v))}", f"q={t.quoted}", f"j={t.joined}"]
-            f += [f"o={owner},p={blank},q={t.quoted},v={t.kind}", f"s={s},o={owner},p={blank}", f"s={s},n={size}", f"r={role},p={blank}", f"j={t.joined},o={owner},p={blank}", f"s={s},p={blank}", f"r={role},s={s}"]
+            if _blank(t.whole):  # never a secret, and tells nothing of the name
+                out.append(["blank"])
+                continue
+            f = ["bias", "k=" + t.kind, *_value_features(t.whole, t)]
+            out.append(f + _context_features(line, i) if context else f)
+        elif t.kind in ("begin", "end"):
+            out.append(["bias", "k=" + t.kind, *(f"m:{w}" for w in parts(t.text))])
+        elif t.kind == "material":
+            out.append(["k=material"])
         else:
-            f.append("t=" + t.text[:12].lower() if t.kind != "name" else f"name={bool(SECRET_NAME.search(t.text))}")
-        out.append(f)
+            out.append(["bias", "k=" + t.kind])
     return out
 
 
+#: Labels to fit on: no secret, a secret, and not known.
+NO, YES, UNKNOWN = 0, 1, 2
+_CODE = re.compile(r"[\[\]().<>]|->|::")
+
+
 def weak_labels(line: list[Token]) -> list[int]:
-    """Labels to fit on: what a secret's published form, a login, or a telling name with a realistic value says for sure."""
+    """Labels to fit on: what a secret's published form, a login, or a telling name with a realistic value says for sure; of
+    other values with a telling name or word before them nothing is known, and of all the rest that they are none."""
     out = []
     for t in line:
-        y = 0
+        y = NO
         if t.kind in ("value", "word") and not _blank(t.whole):
             v, s = t.whole, shape(t.whole)
-            if s == "format" or t.before == "login" and t.joined != 2:
-                y = 1
-            elif t.before in ("bearer", "basic") and (len(v) >= 8 and s not in ("lower", "title", "name", "words") or len(v) >= 20):
-                y = 1
+            named = _owner(t.name) == "secret" and t.kind == "value" and t.before != "word" and v.lower() not in ("bearer", "basic")
+            if FORMAT.match(v) or t.before == "login" and t.joined != 2:
+                y = YES
+            elif t.before in ("bearer", "basic"):
+                y = YES if len(v) >= 8 and s not in ("lower", "title", "name", "words") or len(v) >= 20 else UNKNOWN
             elif t.before in ("token", "password", "passphrase", "secret", "key") and len(v) >= 20 and (s.startswith("mixed") or s in ("name", "hex")) and re.search(r"\d", v):
-                y = 1
-            elif _owner(t.name) == "secret" and t.kind == "value" and t.before != "word" and v.lower() not in ("bearer", "basic"):
-                y = int(len(v) >= (6 if t.quoted else 8) and s not in ("number", "upper", "title", "path", "uuid", "hash", "lower", "words") and (s != "name" or len(v) >= 20 or len(v) >= 8 and re.search(r"\d", v) is not None))
+                y = YES
+            elif named and not t.quoted and _CODE.search(v):
+                y = UNKNOWN if len(v) >= 12 else NO
+            elif named:
+                real = len(v) >= (6 if t.quoted else 8) and s not in ("number", "upper", "title", "path", "uuid", "hash", "lower", "words") and (s != "name" or len(v) >= 20 or len(v) >= 8 and re.search(r"\d", v) is not None)
+                y = YES if real else UNKNOWN if len(v) >= 8 and s in ("words", "name", "path", "title", "lower") and t.quoted else NO
+            elif t.joined == 2:
+                y = UNKNOWN
+        elif t.kind in ("begin", "end", "material"):
+            y = YES if "PRIVATE KEY" in t.before else NO
         out.append(y)
     return out
 
@@ -366,34 +418,41 @@ class Field:
         return out[::-1]
 
 
-def fit(lines: list[list[Token]], epochs: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Field:
-    """Fit by gradient ascent on the conditional likelihood of weak_labels, all lines at once (forward-backward by position)."""
-    lines = [x for x in lines if x]
+def fit(lines: list[list[Token]], epochs: int = 160, rate: float = 0.15, decay: float = 0.02) -> Field:
+    """Fit by gradient ascent (with moments) on the likelihood of the known labels, all sequences at once (forward-backward by position, once
+    free and once held to the labels that are known).
+
+    Every sequence counts twice: with all features, and with those of the values only. So a label that came from a name
+    must be explained by the value as well, and the field tells a secret whose name is on no list.
+    """
+    lines = [x for x in [*lines, *seeds()] if x]
     index: dict[str, int] = {}
-    rows, cols, ys = [], [], []
-    starts = np.cumsum([0] + [len(x) for x in lines])
-    for x in lines:
-        ys.extend(weak_labels(x))
-        for f in features(x):
-            k = len(rows) and rows[-1] + 1
-            for name in f:
-                rows.append(k)
-                cols.append(index.setdefault(name, len(index)))
-    if not lines:
-        return Field({}, [[0.0, 0.0], [0.0, 0.0]])
+    rows, cols, ys, sizes = [], [], [], []
+    for context in (True, False):
+        for x in lines:
+            ys.extend(weak_labels(x))
+            sizes.append(len(x))
+            for f in features(x, context):
+                k = len(rows) and rows[-1] + 1
+                for name in f:
+                    rows.append(k)
+                    cols.append(index.setdefault(name, len(index)))
+    starts = np.cumsum([0, *sizes])
     n, width = int(starts[-1]), len(index)
-    row, col, y = np.asarray(rows), np.asarray(cols), np.asarray(ys)
-    longest = int(np.diff(starts).max())
+    row, col, y = np.asarray(rows, np.int32), np.asarray(cols, np.int32), np.asarray(ys)
+    begins = np.flatnonzero(np.r_[True, np.diff(row) > 0])
+    longest = int(max(sizes))
     live = [starts[:-1][np.diff(starts) > t] + t for t in range(longest)]
-    w, c = np.zeros(width), np.zeros((2, 2))
-    sw, sc = np.full(width, 1e-6), np.full((2, 2), 1e-6)
     inner = np.ones(n, bool)
     inner[starts[:-1]] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
-    for _ in range(epochs):
-        e = np.bincount(row, w[col], n)
-        emit = np.stack([np.zeros(n), e], 1)
+    at = np.flatnonzero(inner)
+    barred = np.zeros((n, 2))
+    barred[y == NO, 1] = barred[y == YES, 0] = -1e4
+    w, c = np.zeros(width), np.zeros((2, 2))
+    first, second = np.zeros(width + 4), np.zeros(width + 4)
+
+    def expected(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability that a token is a secret, and how often each pair of labels stands side by side."""
         fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
         fwd[live[0]] = emit[live[0]]
         for t in range(1, longest):
@@ -404,23 +463,24 @@ def fit(lines: list[list[Token]], epochs: int = 200, rate: float = 0.5, decay: f
             bwd[live[t] - 1] = np.logaddexp(q[:, :, 0], q[:, :, 1])
         both = fwd + bwd
         z = np.logaddexp(both[:, 0], both[:, 1])
-        p1 = np.exp(both[:, 1] - z)
-        at = np.flatnonzero(inner)
         pair = fwd[at - 1][:, :, None] + c + (emit[at] + bwd[at])[:, None, :] - z[at][:, None, None]
-        gw = np.bincount(col, (y - p1)[row], width) - decay * n * w * 0.01
-        gc = seen - np.exp(pair).sum(0)
-        sw += gw**2
-        sc += gc**2
-        w += rate * gw / np.sqrt(sw)
-        c += rate * gc / np.sqrt(sc)
+        return np.exp(both[:, 1] - z), np.exp(pair).sum(0)
+
+    for step in range(1, epochs + 1):
+        emit = np.stack([np.zeros(n), np.add.reduceat(w[col], begins)], 1)
+        free, pairs = expected(emit)
+        held, seen = expected(emit + barred)
+        g = np.r_[np.bincount(col, (held - free)[row], width) - decay * w, (seen - pairs).ravel()]
+        first, second = 0.9 * first + 0.1 * g, 0.98 * second + 0.02 * g * g
+        move = rate * (1 - step / (epochs + 1)) * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
+        w += move[:width]
+        c += move[width:].reshape(2, 2)
     return Field({k: float(w[i]) for k, i in index.items()}, c.tolist())
 
 
 def _usable(t: Token) -> bool:
-    """The exact check after the field: no placeholder or reference, and something that says what the value is for: its
-    published form, a login or authorisation before it, or the name it is given to."""
-    v = t.whole
-    return bool(v) and not _blank(v) and (bool(FORMAT.match(v)) or t.before in ("login", "bearer", "basic") or _owner(t.name) == "secret" or t.before in ("token", "password", "passphrase", "secret", "key") and len(v) >= 20)
+    """The exact check after the field: a value that is no placeholder or reference."""
+    return len(t.whole) >= 4 and not _blank(t.whole)
 
 
 def has_usable(line: list[Token]) -> bool:
@@ -465,21 +525,6 @@ def _within(text: str) -> bool:
     return all(not x.strip(" \t\r\"'`+\\;n") or _MATERIAL.fullmatch(x) or re.fullmatch(r"[\w\-]+: [^\n]*", x) or _SHORT.fullmatch(x) for x in text.split("\n"))
 
 
-def key_regions(text: str, blocks: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """What key blocks and other blocks between such markers (public keys, certificates) cover, markers included, in order."""
-    out = []
-    for s, a, b in blocks:
-        m = END.match(text, b)
-        out.append((s if s >= 0 else a, m.end() if m else b))
-    if "-----" in text:
-        for m in _MARKER.finditer(text):
-            end = m.end()
-            if m[1] == "BEGIN":
-                end = _TAIL.match(text, end).end()
-            out.append((m.start(), end))
-    return sorted(out)
-
-
 def key_blocks(text: str) -> list[tuple[int, int, int]]:
     """(start of the marker, start and end of what is masked) of private key blocks; the start is -1 where only the end is in the text."""
     out, pos = [], 0
@@ -509,6 +554,39 @@ def key_blocks(text: str) -> list[tuple[int, int, int]]:
 
 
 _CLEAN = re.compile(r"(?:\\n|\\r)|[A-Za-z0-9+/=]+")
+#: Kinds of blocks between markers, as published for keys, certificates and messages.
+MARKERS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "PUBLIC KEY", "RSA PUBLIC KEY", "PGP PUBLIC KEY BLOCK", "CERTIFICATE", "CERTIFICATE REQUEST", "X509 CRL", "PGP MESSAGE", "PGP SIGNATURE", "DH PARAMETERS")
+
+
+def block(text: str, begin: str, a: int, b: int, end: str) -> list[Token]:
+    """The tokens of a block over several lines: the marker it begins with, runs of key material, the marker it ends with. A
+    marker that is in another chunk is an empty token with the words known of it."""
+    kind = begin or end
+    out = [Token(a, a, begin, "begin", before=kind)]
+    out += [Token(*m.span(), m[0], "material", before=kind) for m in _CLEAN.finditer(text, a, b) if not m[0].startswith("\\")]
+    return [*out, Token(b, b, end, "end", before=kind)]
+
+
+def blocks(text: str, inside: bool = False) -> Iterator[tuple[int, list[Token]]]:
+    """(start of the first marker or -1, tokens) of what stands between markers of keys and certificates."""
+    if inside and (size := leading_material(text)):
+        yield -1, block(text, "PRIVATE KEY", 0, size, "PRIVATE KEY")
+    if "-----" not in text:
+        return
+    private = key_blocks(text)
+    for s, a, b in private:
+        m, e = BEGIN.match(text, s) if s >= 0 else None, END.match(text, b)
+        yield s, block(text, m[0].strip("-")[6:] if m else "", a, b, e[0].strip("-")[4:] if e else "")
+    for m in _MARKER.finditer(text):
+        if m[1] == "BEGIN" and "PRIVATE KEY" not in m[0]:
+            yield m.start(), block(text, m[0].strip("-")[6:], m.end(), _TAIL.match(text, m.end()).end(), m[0].strip("-")[6:])
+
+
+def seeds() -> list[list[Token]]:
+    """A sequence for every published marker, whole, without its end and without its beginning, so that the field knows them
+    where the sample has none."""
+    body = "MIIabcQ7r5Tz9Lk2"
+    return [[t for t in block(body, kind if k != 2 else "", 0, len(body), kind if k != 1 else "")] for kind in MARKERS for k in range(3)]
 
 
 def find(text: str, field: Field, inside: bool = False) -> tuple[list[int], str]:
@@ -516,16 +594,17 @@ def find(text: str, field: Field, inside: bool = False) -> tuple[list[int], str]
     that the text goes on from a private key block, or is a part of one, whose first marker is elsewhere."""
     starts: list[int] = []
     spans: list[tuple[int, int]] = []
-    blocks = key_blocks(text)
-    if inside and (size := leading_material(text)):
-        blocks = [(-1, 0, size), *blocks]
-    for s, a, b in blocks:
-        if s >= 0:
+    covered: list[tuple[int, int]] = []
+    for s, line in blocks(text, inside):
+        a, b = line[0].start, line[-1].end
+        m = _MARKER.match(text, b)
+        covered.append((s if s >= 0 else a, m.end() if m else b))
+        labels = field.decode(line)
+        if s >= 0 and labels[0]:
             starts.append(s)
-        for m in _CLEAN.finditer(text, a, b):
-            if not m[0].startswith("\\"):
-                spans.append(m.span())
-    covered = key_regions(text, blocks)
+        spans += [(t.start, t.end) for t, y in zip(line[1:-1], labels[1:-1]) if y]
+    if covered or "-----" in text:
+        covered = sorted(covered + [m.span() for m in _MARKER.finditer(text)])
     for at, stop in candidates(text):
         near = [(a, b) for a, b in covered if a < stop and b > at]
         for a, b in near:
@@ -569,12 +648,14 @@ def fit_on(chunks: DataFrame, most: int = FIT_CHUNKS) -> Field:
     sample = rows.join(F.broadcast(chosen), same[0] & same[1] & same[2]).groupBy(*keys).agg(F.min("content").alias("content")).orderBy(F.xxhash64(*keys))  # `most` rows
     lines, seen = [], set()
     for r in sample.toLocalIterator():
+        lines += [x for _, x in blocks(r["content"])]
         for a, b in candidates(r["content"]):
             x = r["content"][a:b]
-            if len(x) < 2000 and x not in seen:
+            if len(x) < 2000 and "-----" not in x and x not in seen:
                 seen.add(x)
-                lines.append(tokens(x))
-    return fit([x for x in lines if has_usable(x)])
+                if has_usable(line := tokens(x)):
+                    lines.append(line)
+    return fit(lines)
 
 
 def with_neighbours(chunks: DataFrame) -> DataFrame:

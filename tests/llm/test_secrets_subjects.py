@@ -29,6 +29,16 @@ def test_spans_and_masks():
         assert secrets.find(line, f) == ([], line), line
 
 
+def test_the_field_decides():
+    """Names and values on no list: the labels say nothing of them, the field does; and it overrules a lone telling word."""
+    f = field()
+    for line, value in (('zugangswort: "Xk3!vQ9z_pL2"', "Xk3!vQ9z_pL2"), ('IDENTIFIANT_PROD = "T7!kq_Zz19ab"', "T7!kq_Zz19ab")):
+        assert secrets.YES not in secrets.weak_labels(secrets.tokens(line))
+        assert secrets.find(line, f)[0] == [line.index(value)], line
+    seen = {x for line in FOUND for fs in secrets.features(secrets.tokens(line[0])) for x in fs}
+    assert not any("AKIA" in x or "glpat" in x or "ejlK" in x for x in seen)  # no form or value is a feature
+
+
 def test_joined_literals_and_key_blocks():
     f = field()
     line = 'String dbPassword = "Xk3!v" + "Q9z_pL2a";'
