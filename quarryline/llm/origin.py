@@ -20,9 +20,9 @@ from quarryline.sources.tables import bounded_sample, written
 
 #: Rows the forest is fitted on at most, its size, and the share of trees that decides. Files without a notice count as
 #: hand-written in the fit though some are not, so the share is below one half.
-FIT_FILES, TREES, DEPTH, SHARE = 20_000, 30, 6, 0.25
-#: One of the equal texts of several repositories must have this many characters, its white space included.
-COPY_LENGTH = 200
+FIT_FILES, TREES, DEPTH, SHARE = 20_000, 40, 8, 0.25
+#: A text of fewer characters, apart from its header, says nothing of its origin.
+LEAST_LENGTH = 40
 
 #: How header notices say that a file is machine-made, or taken over from a third party.
 GENERATED = re.compile(
@@ -34,6 +34,19 @@ THIRD_PARTY = re.compile(
     re.I | re.M,
 )
 HAND = re.compile(r"written by hand|maintained by|ask before you change", re.I)
+#: What a compactor leaves at the end, and how the record of a package manager begins.
+SOURCE_MAP = re.compile(r"(?://|/\*)# sourceMappingURL=[^\n]*\s*\Z")
+RECORD = re.compile(r"\{\s*\"(?:lockfileVersion|locked|_resolved)\"\s*:[^,\n]*,?")
+#: How a file begins that declares one literal and nothing else: what stands before the literal.
+_SCRIPT_HEAD = re.compile(r"(?:export\s+(?:default\s+)?)?(?:(?:const|let|var)\s+[\w$]+(?:\s*:[^=\n]+)?\s*=|module\.exports\s*=)\s*")
+DECLARATION = {
+    "javascript": _SCRIPT_HEAD,
+    "typescript": _SCRIPT_HEAD,
+    "python": re.compile(r"[A-Za-z_]\w*(?:\s*:[^=\n]+)?\s*=\s*"),
+    "java": re.compile(r"(?:package [\w.]+;\s*)?(?:public )?(?:final )?class \w+ \{\s*(?:(?:public|private|static|final) )+[\w<>]+(?:\[\])* \w+ =\s*"),
+    "json": re.compile(r""),
+}
+_STATEMENT = re.compile(r"\b(?:function|def|return|import|require|lambda|class|new)\b|=>|\)\s*\{")
 _HEAD = re.compile(r"\s*(?:/\*[\s\S]*?\*/|//[^\n]*|\#[^\n]*)")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 _NUMBER = re.compile(r"(?<![\w.])-?\d[\d_.]*(?:[eE][+-]?\d+)?|0x[\da-fA-F]+")
@@ -43,15 +56,33 @@ _COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?<![:\w])//[^\n]*|^[ \t]*\#[^\n]*|\"\"\"
 
 def split_header(text: str) -> tuple[str, str]:
     """The comments a text begins with, and the rest."""
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     pos = 0
     while (m := _HEAD.match(text, pos)) and m.end() > pos:
         pos = m.end()
     return text[:pos], text[pos:].strip()
 
 
+def notice_of(header: str, body: str, language: str) -> tuple[str, str]:
+    """(notice, body without it): what a text says of its own origin.
+
+    A notice is a comment of a generator or a third party at the head, the reference to a map that a compactor leaves at
+    the end, the version a package manager's record begins with, or a declaration of one literal that the whole file is.
+    """
+    notice = "generated" if GENERATED.search(header) and not HAND.search(header) else "third party" if THIRD_PARTY.search(header) else ""
+    if m := SOURCE_MAP.search(body):
+        notice, body = notice or "compacted", body[: m.start()]
+    if language == "json" and (m := RECORD.match(body)):
+        return notice or "record", body[m.end() :]
+    if m := DECLARATION[language].match(body):
+        rest = body[m.end() :]
+        if rest[:1] == "[" if language == "json" else rest[:1] in ("[", "{", "(", '"', "'") and not _STATEMENT.search(rest):
+            return notice or "data", rest
+    return notice, body
+
+
 def features(body: str) -> list[float]:
-    """Compression ratio, token entropy, identifier lengths, comment density and line figures of a text without its header."""
+    """Compression ratio, token entropy, identifier lengths, comment density and line figures of a text without its notice."""
     data = body.encode("utf-8", "replace")
     n = max(1, len(body))
     names = _NAME.findall(body)
@@ -81,64 +112,54 @@ def features(body: str) -> list[float]:
     ]
 
 
-def label(header: str, body: str, f: list[float]) -> tuple[int | None, str]:
-    """(label to fit on, notice): 1 for a notice of a machine, 0 without a notice; None where a third party's notice says
-    nothing on how the text looks. What has lines no one can read, is data for the most part, or a lock file's record, says itself what it is."""
-    notice = "generated" if GENERATED.search(header) and not HAND.search(header) else "third party" if THIRD_PARTY.search(header) else ""
-    if len(body) < 40:
-        return None, notice
-    if notice == "generated" or f[6] > 300 and (notice or "sourceMappingURL=" in body[-300:]) or f[6] > 1000 or f[8] > 0.5 or '"lockfileVersion"' in body[:400]:
-        return 1, notice
-    return (None, notice) if notice else (0, notice)
-
-
 def described_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, repo_id, relative_path, size, language, features, label, notice, hash, mark, same, length, text) of current texts.
+    """(file_id, repo_id, relative_path, size, language, features, notice, hash, mark, same, text) of current texts.
 
-    hash, mark and same (the length) are of the body with its white space made one blank each; length is of the body as it is.
+    hash, mark and same (the length) are of the body with its white space made one blank each.
     """
-    arrow = pa.schema(
-        [("file_id", pa.int64()), ("repo_id", pa.int32()), ("relative_path", pa.string()), ("size", pa.int64()), ("language", pa.string()), ("features", pa.list_(pa.float64())), ("label", pa.int32()), ("notice", pa.string()), ("body", pa.string()), ("length", pa.int64()), ("text", pa.string())]
-    )
+    arrow = pa.schema([("file_id", pa.int64()), ("repo_id", pa.int32()), ("relative_path", pa.string()), ("size", pa.int64()), ("language", pa.string()), ("features", pa.list_(pa.float64())), ("notice", pa.string()), ("body", pa.string()), ("text", pa.string())])
 
     def each(file_id, repo_id, path, size, language, text):
         header, body = split_header(text)
-        f = features(body)
-        y, notice = label(header, body, f)
-        yield file_id, repo_id, path, size, language, f, y, notice, re.sub(r"\s+", " ", body), len(body), text
+        notice, rest = notice_of(header, body, language)
+        yield file_id, repo_id, path, size, language, features(rest), notice, re.sub(r"\s+", " ", body), text
 
-    rows = map_texts(current_chunks(files, chunks), each, "file_id long, repo_id int, relative_path string, size long, language string, features array<double>, label int, notice string, body string, length long, text string", arrow)
-    return rows.select("file_id", "repo_id", "relative_path", "size", "language", "features", "label", "notice", F.xxhash64("body").alias("hash"), F.hash("body").alias("mark"), F.length("body").cast("long").alias("same"), "length", "text")
+    rows = map_texts(current_chunks(files, chunks), each, "file_id long, repo_id int, relative_path string, size long, language string, features array<double>, notice string, body string, text string", arrow)
+    return rows.select("file_id", "repo_id", "relative_path", "size", "language", "features", "notice", F.xxhash64("body").alias("hash"), F.hash("body").alias("mark"), F.length("body").cast("long").alias("same"), "text")
 
 
-def foreign_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def foreign_files(files: DataFrame, chunks: DataFrame, share: float = SHARE) -> DataFrame:
     """(file_id, repo_id, relative_path, size, share, notice, copied): current files that nobody wrote by hand in their repository.
 
-    A file is one if the forest says so from its text without the header, if its header carries a notice of a generator or
-    of a third party, or if its text (but for header and white space) also stands in another repository. An exact check
-    follows: a text that does not parse is no case. Files of other languages, null or empty texts, repeated rows and
-    earlier versions give no rows; a null size stays null; empty tables give no rows. Other columns are ignored.
+    The forest alone finds them: from the text without its notice, and from whether the same text (but for its header and
+    for white space) stands in another repository. Its labels are the notices, which it does not see; a notice speaks for
+    all copies of its text, and a file without one counts as hand-written in the fit. Exact checks follow: a text that does not parse, or of under LEAST_LENGTH
+    characters, is no case. Where no file, or each, has a notice, there is nothing to tell apart and the label itself is
+    the share. Files of other languages, null or empty texts, repeated rows and earlier versions give no rows; a null size
+    stays null; empty tables give no rows. Other columns are ignored.
 
-    Plan: the texts are described once and written to the shared folder; the forest is fitted on at most FIT_FILES of them,
-    chosen by a hash; copies are found by a pre-aggregated group of hashes, never by comparing pairs; only the texts of the
-    files found are read again, to parse them.
+    Plan: the texts are described once and written to the shared folder; equal texts come from a pre-aggregated group of
+    hashes, never from comparing pairs; the forest is fitted on at most FIT_FILES rows, chosen by a hash; only the texts of
+    the files found are read again, to parse them.
     """
     all_ = written(described_files(files, chunks), "described")
-    plain = all_.drop("text").withColumn("v", array_to_vector("features"))
-    sample = bounded_sample(plain.where("label is not null").select("file_id", "v", F.col("label").cast("double").alias("label")), ["file_id"], FIT_FILES)
+    key = ["hash", "mark", "same"]
+    copies = all_.groupBy(*key).agg(F.min("repo_id").alias("_a"), F.max("repo_id").alias("_b"), F.max("notice").alias("told")).where("_a <> _b").select(*key, "told")
+    plain = (
+        all_.select("file_id", "features", "notice", *key)
+        .join(copies, key, "left")
+        .select("file_id", "notice", "same", F.col("told").isNotNull().alias("copied"), (F.coalesce("told", "notice") != "").cast("double").alias("label"), "features")
+        .withColumn("v", array_to_vector(F.concat("features", F.array(F.col("copied").cast("double")))))
+    )
+    long_ = plain.where(F.col("same") >= LEAST_LENGTH)
+    sample = bounded_sample(long_.select("file_id", "v", "label"), ["file_id"], FIT_FILES)
     kinds = [r["label"] for r in sample.groupBy("label").count().collect()]  # at most two rows
     if len(kinds) > 1:
         model = RandomForestClassifier(featuresCol="v", numTrees=TREES, maxDepth=DEPTH, seed=11, cacheNodeIds=False, subsamplingRate=0.7, minInstancesPerNode=2).fit(sample)
-        scored = model.transform(plain).withColumn("share", vector_to_array("probability")[1])
+        scored = model.transform(long_).withColumn("share", vector_to_array("probability")[1])
     else:
-        scored = plain.withColumn("share", F.lit(1.0 if kinds == [1.0] else 0.0))
-    copies = all_.groupBy("hash", "mark", "same").agg(F.min("repo_id").alias("_a"), F.max("repo_id").alias("_b"), F.max("length").alias("_n")).where((F.col("_a") != F.col("_b")) & (F.col("_n") >= COPY_LENGTH)).select("hash", "mark", "same", F.lit(True).alias("copied"))
-    found = (
-        scored.select("file_id", "share", "notice", "hash", "mark", "same", "length")
-        .join(copies, ["hash", "mark", "same"], "left")
-        .where(((F.col("share") >= SHARE) & (F.col("length") >= 40)) | ((F.col("notice") != "") & (F.col("length") > 0)) | F.col("copied"))
-        .select("file_id", "share", "notice", F.coalesce("copied", F.lit(False)).alias("copied"))
-    )
+        scored = long_.withColumn("share", F.col("label"))
+    found = scored.where(F.col("share") >= share).select("file_id", "share", "notice", "copied")
     schema = pa.schema([("file_id", pa.int64()), ("repo_id", pa.int32()), ("relative_path", pa.string()), ("size", pa.int64()), ("share", pa.float64()), ("notice", pa.string()), ("copied", pa.bool_())])
 
     def parses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
