@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -49,9 +50,11 @@ DECLARATION = {
 _STATEMENT = re.compile(r"\b(?:function|def|return|import|require|lambda|class|new)\b|=>|\)\s*\{")
 _HEAD = re.compile(r"\s*(?:/\*[\s\S]*?\*/|//[^\n]*|\#[^\n]*)")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_NUMBER = re.compile(r"(?<![\w.])-?\d[\d_.]*(?:[eE][+-]?\d+)?|0x[\da-fA-F]+")
+_WORDS, _DIGITS = re.compile(r"[A-Za-z_$]+"), re.compile(r"\d+")
+_NUMBER = re.compile(r"\d+(?:\.\d+)?")
 _BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?<![:\w])//[^\n]*|^[ \t]*\#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''", re.M)
+_BRACES_COMMENT = re.compile(r"/(?:\*[\s\S]*?\*/|/[^\n]*)")
+_COMMENT = {"python": re.compile(r"\#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''"), "java": _BRACES_COMMENT, "javascript": _BRACES_COMMENT, "typescript": _BRACES_COMMENT}
 
 
 def split_header(text: str) -> tuple[str, str]:
@@ -81,7 +84,7 @@ def notice_of(header: str, body: str, language: str) -> tuple[str, str]:
     return notice, body
 
 
-def features(body: str) -> list[float]:
+def features(body: str, language: str) -> list[float]:
     """Compression ratio, token entropy, identifier lengths, comment density and line figures of a text without its notice."""
     data = body.encode("utf-8", "replace")
     n = max(1, len(body))
@@ -90,7 +93,7 @@ def features(body: str) -> list[float]:
     total = max(1, len(names))
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
     lines = body.split("\n")
-    shapes = {re.sub(r"[A-Za-z_$]+", "a", re.sub(r"\d+", "0", x.strip())[:400]) for x in lines}
+    shapes = set(map(str.strip, _WORDS.sub("a", _DIGITS.sub("0", body)).split("\n")))
     numbers = sum(map(len, _NUMBER.findall(body)))
     blobs = sum(map(len, _BLOB.findall(body)))
     return [
@@ -99,7 +102,7 @@ def features(body: str) -> list[float]:
         entropy / math.log2(total) if total > 1 else 1.0,
         sum(map(len, names)) / total,
         sum(1 for x in names if len(x) <= 2) / total,
-        sum(map(len, _COMMENT.findall(body))) / n,
+        sum(map(len, _COMMENT[language].findall(body))) / n if language in _COMMENT else 0.0,
         n / len(lines),
         math.log1p(max(map(len, lines))),
         (numbers + blobs) / n,
@@ -108,24 +111,24 @@ def features(body: str) -> list[float]:
         len(shapes) / len(lines),
         math.log1p(n),
         len(names) / n,
-        sum(c.isdigit() for c in counts) / max(1, len(counts)),
+        len(counts) / total,
     ]
 
 
 def described_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, repo_id, relative_path, size, language, features, notice, hash, mark, same, text) of current texts.
+    """(file_id, repo_id, relative_path, size, language, features, notice, hash, same, text) of current texts.
 
-    hash, mark and same (the length) are of the body with its white space made one blank each.
+    hash (128 bits) and same (the length) are of the body with its white space made one blank each.
     """
-    arrow = pa.schema([("file_id", pa.int64()), ("repo_id", pa.int32()), ("relative_path", pa.string()), ("size", pa.int64()), ("language", pa.string()), ("features", pa.list_(pa.float64())), ("notice", pa.string()), ("body", pa.string()), ("text", pa.string())])
+    arrow = pa.schema([("file_id", pa.int64()), ("repo_id", pa.int32()), ("relative_path", pa.string()), ("size", pa.int64()), ("language", pa.string()), ("features", pa.list_(pa.float64())), ("notice", pa.string()), ("hash", pa.string()), ("same", pa.int64()), ("text", pa.string())])
 
     def each(file_id, repo_id, path, size, language, text):
         header, body = split_header(text)
         notice, rest = notice_of(header, body, language)
-        yield file_id, repo_id, path, size, language, features(rest), notice, re.sub(r"\s+", " ", body), text
+        plain = " ".join(body.split())
+        yield file_id, repo_id, path, size, language, features(rest, language), notice, hashlib.blake2b(plain.encode("utf-8", "replace"), digest_size=16).hexdigest(), len(plain), text
 
-    rows = map_texts(current_chunks(files, chunks), each, "file_id long, repo_id int, relative_path string, size long, language string, features array<double>, notice string, body string, text string", arrow)
-    return rows.select("file_id", "repo_id", "relative_path", "size", "language", "features", "notice", F.xxhash64("body").alias("hash"), F.hash("body").alias("mark"), F.length("body").cast("long").alias("same"), "text")
+    return map_texts(current_chunks(files, chunks), each, "file_id long, repo_id int, relative_path string, size long, language string, features array<double>, notice string, hash string, same long, text string", arrow)
 
 
 def foreign_files(files: DataFrame, chunks: DataFrame, share: float = SHARE) -> DataFrame:
@@ -143,11 +146,10 @@ def foreign_files(files: DataFrame, chunks: DataFrame, share: float = SHARE) ->
     the files found are read again, to parse them.
     """
     all_ = written(described_files(files, chunks), "described")
-    key = ["hash", "mark", "same"]
-    copies = all_.groupBy(*key).agg(F.min("repo_id").alias("_a"), F.max("repo_id").alias("_b"), F.max("notice").alias("told")).where("_a <> _b").select(*key, "told")
+    copies = all_.groupBy("hash").agg(F.min("repo_id").alias("_a"), F.max("repo_id").alias("_b"), F.max("notice").alias("told")).where("_a <> _b").select("hash", "told")
     plain = (
-        all_.select("file_id", "features", "notice", *key)
-        .join(copies, key, "left")
+        all_.select("file_id", "features", "notice", "hash", "same")
+        .join(copies, "hash", "left")
         .select("file_id", "notice", "same", F.col("told").isNotNull().alias("copied"), (F.coalesce("told", "notice") != "").cast("double").alias("label"), "features")
         .withColumn("v", array_to_vector(F.concat("features", F.array(F.col("copied").cast("double")))))
     )
