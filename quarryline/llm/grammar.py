@@ -79,7 +79,7 @@ def grammar_error(x: Lexed, language: str) -> str:
             if script and a == "i" and not line and i + 1 < n and (av in ("interface", "enum", "namespace") and values[i + 1] == "{" or av == "type" and values[i + 1] in ("=", "<") or av == "readonly"):
                 return "type in a script"
         elif k in "nsr":
-            if a in ("n", "s", "r") and not (line and not java) or a == "i" and not line and (java or av not in ("from", "of", "await", "yield", "as", "module", "case")) and k != "r":
+            if a in ("n", "s", "r") and not (line and not java) or a == "i" and not line and av != "yield" and (java or av not in ("from", "of", "await", "as", "module", "case")) and k != "r":
                 return "operands without a sign between"
         elif k == ":":
             if script:
@@ -124,6 +124,205 @@ def grammar_error(x: Lexed, language: str) -> str:
     return ""
 
 
+#: Words before a condition in brackets, and what may follow them where they are names of members.
+_CONDITIONS = frozenset(("if", "while", "switch", "for"))
+_OPERAND = frozenset("insrt)]}")
+_PRIMITIVES = frozenset("boolean byte char short int long float double".split())
+_UNFINISHED = frozenset("= , . + - * / % & | ? < ! ~ @".split())
+_VALUE_BEFORE = frozenset("= ( [ , ? + - * / % & | ! ~".split())
+
+
+def structure_error(x: Lexed, language: str) -> str:
+    """What the productions of statements rule out, by a stack of what each open bracket is; '' if nothing.
+
+    Productions: conditions and loops with their heads, else / catch / finally with what they belong to, try with what
+    must follow it, case in a switch, headers of types, declarations with what they must have, entries of objects, and
+    in Java the end of each statement of a block.
+    """
+    java, script = language == "java", language == "javascript"
+    kinds, values, fresh, match = x.kinds, x.values, x.fresh, x.match
+    n = len(kinds)
+    if not n:
+        return ""
+    last = kinds[-1]
+    if (last not in ("}", ";")) if java else (last in _UNFINISHED or last == "o" and values[-1] in _INFIX):
+        return "premature end"
+    open_: list[str] = []
+    for i, k in enumerate(kinds):
+        if k == "{":
+            open_.append(_brace(x, i, java, open_))
+            continue
+        if k == "(" or k == "[":
+            open_.append(k)
+            if k == "(" and i + 1 < n and kinds[i + 1] == ",":
+                return "operator without operand"
+            continue
+        if k == "}" or k == ")" or k == "]":
+            top = open_.pop() if open_ else ""
+            if java:
+                before = kinds[i - 1]
+                if k == "}" and top in ("block", "switch") and before not in ("{", "}", ";") and not (top == "switch" and before == ":"):
+                    return "statement without end"
+                if k == ")" and before == ",":
+                    return "operator without operand"
+                if top == "array" and i + 1 < n and kinds[i + 1] in ("i", "k", "n", "s", "{", "@"):
+                    return "statement without end"
+            continue
+        if k == "=":
+            if i and kinds[i - 1] == ":":
+                return "type without name"
+            continue
+        after = kinds[i + 1] if i + 1 < n else ""
+        if k == ":":
+            if script and open_ and open_[-1] == "object" and i > 1 and kinds[i - 1] in ("i", "s", "n") and (kinds[i - 2] in _OPERAND and values[i - 2] not in _JS_BEFORE or values[i - 2] in ("true", "false", "null")):
+                return "entries without a sign between"
+            continue
+        v = values[i]
+        if k == "i":
+            if v == "let" and not java and i and kinds[i - 1] == "," and after == "i":
+                return "declaration after a comma"
+            if v in ("implements", "extends") and after in ("{", ";") and i and kinds[i - 1] in ("i", ">"):
+                return "header without name"
+            continue
+        if k != "k" or not java and after == ":":
+            continue
+        before = kinds[i - 1] if i else ""
+        if v in _CONDITIONS:
+            if after != "(" and (java or after in ("", "i", "n", "s", "k", "{", "!", "o", "-", "[") and not (v == "for" and values[i + 1 : i + 2] == ["await"])):
+                return "condition without brackets"
+            if v == "for" and after == "(" and not _loop(x, i + 1, java):
+                return "malformed loop"
+        elif v == "else":
+            if error := _else_error(x, i, java):
+                return error
+        elif v == "try":
+            at = i + 1
+            resources = java and after == "("
+            if resources:
+                at = match.get(at, n) + 1
+            if at < n and kinds[at] == "{":
+                end = match.get(at, n) + 1
+                if not resources and not (end < n and values[end] in ("catch", "finally")):
+                    return "try without catch"
+            elif java or after != "(":
+                return "try without block"
+        elif v in ("catch", "finally"):
+            if java:
+                o = match.get(i - 1, 0) if before == "}" else 0
+                head = values[o - 1] if o else ""
+                if head == ")" and (q := match.get(o - 1, 0)):
+                    head = values[q - 1]
+                if head not in ("try", "catch"):
+                    return f"{v} without try"
+            elif after == "{" and before != "}":
+                return f"{v} without try"
+        elif v == "case":
+            if (java or after not in ("(", ",", "}", "=", "?", ".", "")) and (not open_ or open_[-1] != "switch"):
+                return "case outside a switch"
+        elif v in ("extends", "implements", "throws", "enum", "class") and (after in (";", ",") or after == "{" and (v != "class" or java) or not after):
+            return "header without name"
+        elif v == "new" and after in (";", ")", "]", "}", ",", "="):
+            return "operator without operand"
+        elif v == "throw" and after in (";", "}"):
+            return "operator without operand"
+        elif v in ("const", "var") and not java:
+            if before == "," and not (v == "const" and not script):
+                return "declaration after a comma"
+            if script and v == "const" and after == "i" and kinds[i + 2 : i + 3] == [";"]:
+                return "constant without value"
+        elif v == "function" and after in ("{", ";", "o") and values[i + 1] != "**":
+            return "function without parameters"
+        elif java and v in _PRIMITIVES and (before in ("n", "s") or before == "i" and i > 1 and kinds[i - 2] in ("=", "+", "-", "*", "/") or before == ")" and _call(x, i - 1)):
+            return "statement without end"
+    return ""
+
+
+def _brace(x: Lexed, i: int, java: bool, open_: list[str]) -> str:
+    """What the brace at token i opens: switch, enum, array (Java), object (scripts), else block; '' where it can't be told."""
+    if not i:
+        return "block" if java else ""
+    kinds, values, k = x.kinds, x.values, x.kinds[i - 1]
+    outer = open_[-1] if open_ else ""
+    if k == ")":
+        o = x.match.get(i - 1, 0)
+        return "switch" if o and values[o - 1] == "switch" and kinds[o - 1] == "k" else "block"
+    if not java:
+        return "object" if k in _VALUE_BEFORE and not (k == "?" and outer == "block") or values[i - 1] == "return" and kinds[i - 1] == "k" or k == ":" and outer == "object" else ""
+    if k in ("=", ",", "(", "]") or k == "{" and outer == "array":
+        return "array"
+    if k in ("i", ">"):
+        j = i - 1
+        while j >= 0 and kinds[j] not in (";", "{", "}"):
+            if values[j] == "enum" and kinds[j] == "k":
+                return "enum"
+            j = x.match.get(j, j) - 1 if kinds[j] == ")" else j - 1
+    return "block"
+
+
+def _loop(x: Lexed, o: int, java: bool) -> bool:
+    """Whether the brackets at token o hold the head of a loop: two signs between three parts, or a name of what is gone through."""
+    end, j, signs, through = x.match.get(o, o), o + 1, 0, False
+    while j < end:
+        k, v = x.kinds[j], x.values[j]
+        if k in "([{":
+            j = x.match.get(j, j)
+        elif k == ";":
+            signs += 1
+        elif k == ":" and java or not java and v in ("in", "of"):
+            through = True
+        j += 1
+    return signs == 2 or not signs and through
+
+
+def _else_error(x: Lexed, i: int, java: bool) -> str:
+    """Why no if can belong to the else at token i."""
+    kinds, values, match = x.kinds, x.values, x.match
+    before = kinds[i - 1] if i else ""
+    if before == "}":
+        o = match.get(i - 1, 0)
+        while o > 1:
+            if kinds[o - 1] == ")":
+                q = match.get(o - 1, 0)
+                if q and values[q - 1] == "if" and kinds[q - 1] == "k":
+                    break
+                return "else without if" if java and q > 1 and kinds[q - 1] == "i" and values[q - 2] not in ("new", ".") else ""
+            if kinds[o - 1] in (";", "{", "}") or java and kinds[o - 1] == "i":
+                return "else without if"
+            if values[o - 1] != "else" or kinds[o - 2] != "}":
+                return ""
+            o = match.get(o - 2, 0)  # the block before the other else: the chain must not begin a statement
+            q = match.get(o - 1, 0) if o and kinds[o - 1] == ")" else 0
+            if not q or values[q - 1] != "if":
+                return ""
+            if q < 2 or kinds[q - 2] in (";", "{", "}"):
+                return "else without if"
+            if values[q - 2] != "else" or kinds[q - 3] != "}":
+                return ""
+            o = match.get(q - 3, 0)
+            if not (o and kinds[o - 1] == ")"):
+                return ""
+            while True:  # up to the first if of the chain
+                q = match.get(o - 1, 0)
+                if not q or values[q - 1] != "if":
+                    return ""
+                if q < 2 or kinds[q - 2] in (";", "{", "}"):
+                    return "else without if"
+                if values[q - 2] != "else" or kinds[q - 3] != "}":
+                    return ""
+                o = match.get(q - 3, 0)
+                if not (o and kinds[o - 1] == ")"):
+                    return ""
+        return ""
+    if before == ";":
+        j = i - 2
+        while j >= 0 and kinds[j] not in (";", "{"):
+            if values[j] in ("if", "else") and kinds[j] == "k":
+                return ""
+            j = match.get(j, j) - 1 if kinds[j] in (")", "]", "}") else j - 1
+        return "else without if"
+    return "else without if" if java or before in ("i", "n", "s", "]", ")") and not x.fresh[i] or not before else ""
+
+
 def _dotted(x: Lexed, i: int, star: bool) -> bool:
     """Whether a Java package or import statement begins at token i."""
     i += 1
@@ -167,7 +366,7 @@ def analyse(text: str, language: str) -> tuple[str, Lexed | None]:
     """(error, tokens): what makes text invalid in the language ('' if nothing does), and its tokens (none for JSON).
 
     The lexer with its stack decides first. For Python and JSON an exact check follows it: the interpreter's own parser and
-    the strict JSON reader. For the others the neighbour rules above follow.
+    the strict JSON reader. For the others the neighbour rules and the productions above follow.
     """
     if language == "json":
         error = json_error(text)
@@ -194,7 +393,7 @@ def analyse(text: str, language: str) -> tuple[str, Lexed | None]:
                 error = str(e) or "invalid"
         return error, lexed
     lexed = lex_braces(text, language)
-    return lexed.error or grammar_error(lexed, language), lexed
+    return lexed.error or grammar_error(lexed, language) or structure_error(lexed, language), lexed
 
 
 def syntax_error(text: str, language: str) -> str:
