@@ -127,6 +127,8 @@ def grammar_error(x: Lexed, language: str) -> str:
 #: Words before a condition in brackets, and what may follow them where they are names of members.
 _CONDITIONS = frozenset(("if", "while", "switch", "for"))
 _OPERAND = frozenset("insrt)]}")
+#: Kinds of tokens that decide anything, and names that act as reserved words.
+_DECIDING, _CONTEXTUAL = frozenset("k{}()[]:="), frozenset(("let", "implements", "extends"))
 _PRIMITIVES = frozenset("boolean byte char short int long float double".split())
 _UNFINISHED = frozenset("= , . + - * / % & | ? < ! ~ @".split())
 _VALUE_BEFORE = frozenset("= ( [ , ? + - * / % & | ! ~".split())
@@ -149,6 +151,17 @@ def structure_error(x: Lexed, language: str) -> str:
         return "premature end"
     open_: list[str] = []
     for i, k in enumerate(kinds):
+        if k == "i":
+            v = values[i]
+            if v in _CONTEXTUAL:
+                after = kinds[i + 1] if i + 1 < n else ""
+                if v == "let" and not java and i and kinds[i - 1] == "," and after == "i":
+                    return "declaration after a comma"
+                if v != "let" and after in ("{", ";") and i and kinds[i - 1] in ("i", ">"):
+                    return "header without name"
+            continue
+        if k not in _DECIDING:
+            continue
         if k == "{":
             open_.append(_brace(x, i, java, open_))
             continue
@@ -178,13 +191,7 @@ def structure_error(x: Lexed, language: str) -> str:
                 return "entries without a sign between"
             continue
         v = values[i]
-        if k == "i":
-            if v == "let" and not java and i and kinds[i - 1] == "," and after == "i":
-                return "declaration after a comma"
-            if v in ("implements", "extends") and after in ("{", ";") and i and kinds[i - 1] in ("i", ">"):
-                return "header without name"
-            continue
-        if k != "k" or not java and after == ":":
+        if not java and after == ":":
             continue
         before = kinds[i - 1] if i else ""
         if v in _CONDITIONS:
