@@ -39,25 +39,25 @@ def index_repository(spark: SparkSession, root: str, store: Store, repo_id: str,
     leave. Returns counts of added, modified, deleted and unchanged files."""
     config = config or Config()
     current = read_tree(spark, root, config.exclude, config.max_file_size).withColumn("repo_id", F.lit(repo_id)).cache()
-    stored = store.read("files").where(F.col("repo_id") == repo_id)
+    stored = store.read("files", [repo_id])
     change = C.changes(stored, current, "rel_path").cache()
     fresh = current if force else current.join(change.where("change in ('added', 'modified')").select("rel_path"), "rel_path", "left_semi")
     chunks = chunked(fresh, repo_id, config.chunk_size).cache()
     provider = config.provider
     vectors, gained = E.with_cache(chunks.select("repo_id", "chunk_id", "content"), "chunk_id", "content", store.read("embed_cache"), lambda: [E.create(provider)], provider)
     touched = change.where("change <> 'unchanged'") if not force else change
-    old = store.read("chunks").where(F.col("repo_id") == repo_id).join(touched.select("rel_path"), "rel_path", "left_semi").select("chunk_id").cache()
+    before = store.read("chunks", [repo_id])
+    old = before.join(touched.select("rel_path"), "rel_path", "left_semi").select("chunk_id").cache()
     old.count()
     new_vectors = vectors.select("repo_id", "chunk_id", "embedding", F.lit(provider).alias("provider"), "text_sha")
-    store.replace("vectors", C.without(store.read("vectors"), old, "chunk_id").unionByName(new_vectors))
-    store.replace("chunks", C.without(store.read("chunks"), old, "chunk_id").unionByName(chunks.select(*store.read("chunks").columns)))
+    store.replace_repositories("vectors", C.without(store.read("vectors", [repo_id]), old, "chunk_id").unionByName(new_vectors), [repo_id])
+    store.replace_repositories("chunks", C.without(before, old, "chunk_id").unionByName(chunks.select(*before.columns)), [repo_id])
     store.append("embed_cache", gained)
     counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # four rows at most
-    kept = store.read("files").where(F.col("repo_id") != repo_id)
-    store.replace("files", kept.unionByName(current.select(*kept.columns)))
-    totals = current.agg(F.count("*").alias("files")).crossJoin(store.read("chunks").where(F.col("repo_id") == repo_id).agg(F.count("*").alias("chunks")))
+    store.replace_repositories("files", current.select(*stored.columns), [repo_id])
+    totals = current.agg(F.count("*").alias("files")).crossJoin(store.read("chunks", [repo_id]).agg(F.count("*").alias("chunks")))
     row = totals.select(F.lit(repo_id).alias("repo_id"), F.lit(repo_id).alias("alias"), F.lit(root).alias("path"), F.lit(provider).alias("provider"), F.lit(E.create(provider).dimensions).alias("dimensions"), "files", "chunks", F.current_timestamp().alias("indexed_at"))
-    store.upsert("repositories", row, "repo_id")
+    store.replace_repositories("repositories", row, [repo_id])
     for df in (current, change, chunks, old):
         df.unpersist()
     return {k: counts.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")}
@@ -66,9 +66,9 @@ def index_repository(spark: SparkSession, root: str, store: Store, repo_id: str,
 def search(store: Store, query: str, k: int = 8, repos: list[str] | None = None, provider: str = "hash") -> DataFrame:
     """The k chunks nearest to the query's vector, with boosted score, lines, text and why; boosts come after the cut."""
     vector = E.create(provider).embed([query])[0]
-    scope = store.read("vectors") if repos is None else store.read("vectors").where(F.col("repo_id").isin(*repos))
+    scope = store.read("vectors", repos)
     best = R.cosine_search(scope.where("embedding is not null"), "embedding", vector, k, "chunk_id").select("repo_id", "chunk_id", "score")
-    hits = store.read("chunks").join(F.broadcast(best), ["repo_id", "chunk_id"])  # k rows
+    hits = store.read("chunks", repos).join(F.broadcast(best), ["repo_id", "chunk_id"])  # k rows
     name, class_ = F.try_element_at("functions", F.lit(1))["name"], F.try_element_at("classes", F.lit(1))["name"]
     score = R.boosted(F.col("score"), F.lit(query), name, class_)
     return hits.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +19,7 @@ from quarryline.plans import pipelines
 from quarryline.plans.reference_scan import _LOC, ENDING, _map
 from quarryline.plans.registry import Registry, Tables
 from quarryline.sources.store import Store
-from quarryline.sources.tables import shared_dir
+from quarryline.sources.tables import shared_folder
 
 query = Registry()
 #: Endings whose language the store infers when none is given.
@@ -367,7 +366,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _store(t: Tables) -> Store:
-    return Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    return Store(t.spark, shared_folder(t.spark, "store"))
 
 
 def _vectors(t: Tables) -> DataFrame:

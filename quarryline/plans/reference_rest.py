@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from quarryline.plans.reference_scan import _STATES, _states
 from quarryline.plans.reference_stats import _TECH
 from quarryline.plans.registry import Registry, Tables
 from quarryline.sources.store import Store
-from quarryline.sources.tables import shared_dir
+from quarryline.sources.tables import shared_folder
 from quarryline.streaming import watch as W
 
 query = Registry()
@@ -43,7 +42,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("S18_enriched_round_trip")
 def _(t: Tables) -> DataFrame:
-    store = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    store = Store(t.spark, shared_folder(t.spark, "store"))
     files = t.chunks.where("content is not null and ordinal = 0").groupBy("file_id").agg(F.min_by(F.struct("relative_path", "file_hash", "content"), "chunk_id").alias("c"))
     rows = files.select(F.col("c.relative_path").alias("rel_path"), F.col("c.file_hash").alias("hash"), X.language(F.col("c.relative_path")).alias("language"), F.col("c.content").alias("content"))
     store.replace("chunks", pipelines.chunked(rows, "all", 4000))
@@ -144,7 +143,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("T11_chunk_stream", "select doc_id, i as chunk_no, length(substr(text, 3400 * i + 1, 4000)) as size from (select doc_id, text, unnest(range(0, 1 + greatest(0, ceil((length(text) - 4000) / 3400))::int)) as i from documents where length(text) > 0)")
 def _(t: Tables) -> DataFrame:
-    root = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    root = shared_folder(t.spark, "stream")
     rows = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.base}/document[s].parquet")
     out = K.fixed_chunks(rows, "text").select("doc_id", "chunk_no", F.length("chunk").alias("size"))
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()

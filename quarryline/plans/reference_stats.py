@@ -3,7 +3,6 @@ value the response time, an error a failure, props.k the batch size."""
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from quarryline.operators import retrieval as R
 from quarryline.operators import summary as P
 from quarryline.plans.reference_scan import _LOC, _LANG, _quoted
 from quarryline.plans.registry import Registry, Tables
+from quarryline.sources.tables import shared_folder
 from quarryline.streaming import watch as W
 
 query = Registry()
@@ -422,15 +422,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("T10_streamed_changes", "select user_id, event_type as state, event_id from (select * from events qualify row_number() over (partition by user_id order by event_id desc) = 1) where event_type <> 'error'")
 def _(t: Tables) -> DataFrame:
-    from quarryline.sources.tables import shared_dir
-
     e = t.events.schema
     stream = t.spark.readStream.schema(e).parquet(f"{t.base}/event[s].parquet")
     rows = stream.select("user_id", F.col("event_type").alias("state"), "event_id", F.when(ok(), "change").otherwise("unlink").alias("action"))
-    root = f"{shared_dir(t.spark)}/watch-{next(tempfile._get_candidate_names())}"
+    root = shared_folder(t.spark, "watch")
     W.watch(t.spark, rows, f"{root}/table", f"{root}/checkpoint", "user_id", "event_id").awaitTermination()
-    newest = max(int(p["v"]) for p in t.spark.read.parquet(f"{root}/table").select("v").distinct().collect())  # one row a batch
-    return t.spark.read.parquet(f"{root}/table/v={newest}").select("user_id", "state", "event_id")
+    return W.watched(t.spark, f"{root}/table", rows.drop("action").schema).read().select("user_id", "state", "event_id")
 
 
 @query("T13_adaptive_batch")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.operators.changes import upserted, without
+from quarryline.sources.versions import Versions
 
 SYMBOLS = "array<struct<type:string,name:string>>"
 #: The schemas that tables are written with.
@@ -22,56 +21,67 @@ SCHEMAS = {
 
 
 class Store:
-    """Tables under a folder. A change writes a new version of the table and then names it current, so a reader never
-    sees half a change and a failed job leaves the version before."""
+    """Tables under a folder, those with a repo_id partitioned by it. A change writes the partitions it touches (see Versions)."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, *parts: str):
-        """A path and its file system, local or shared by the cluster."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _current(self, name: str) -> str | None:
-        mark, fs = self._path(name, "CURRENT")
-        return f"{self.root}/{name}/{self.spark.read.text(mark.toString()).first()[0]}" if fs.exists(mark) else None
+    def table(self, name: str) -> Versions:
+        schema = T._parse_datatype_string(SCHEMAS[name])
+        return Versions(self.spark, f"{self.root}/{name}", schema, "repo_id" if "repo_id" in schema.names else None)
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return self.table(name).number() >= 0
 
-    def read(self, name: str) -> DataFrame:
-        """A table; empty with its schema where it was never written."""
-        schema = T._parse_datatype_string(SCHEMAS[name])
-        at = self._current(name)
-        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+    def read(self, name: str, repos: list[str] | None = None) -> DataFrame:
+        """A table, or the partitions of some repositories; empty with its schema where it was never written."""
+        return self.table(name).read(repos)
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write df (checked against the schema) as the new version of a table."""
-        schema = T._parse_datatype_string(SCHEMAS[name])
-        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        version = f"v-{uuid.uuid4().hex}"
-        writer = typed.write.option("maxRecordsPerFile", 5_000_000)
-        (writer.partitionBy("repo_id") if "repo_id" in schema.names else writer).parquet(f"{self.root}/{name}/{version}")
-        mark, fs = self._path(name, "CURRENT")
-        out = fs.create(mark, True)
-        out.writeBytes(version)
-        out.close()
+        """Write df (checked against the schema) as the whole table."""
+        self.table(name).commit(df, None)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(df.select(*self.read(name).columns)))
+        """Add rows: only they are written."""
+        self.table(name).commit(df, set())
+
+    def replace_repositories(self, name: str, df: DataFrame, repos: list[str]) -> None:
+        """Put df, whose rows are of these repositories, in the place of their partitions."""
+        t = self.table(name)
+        t.commit(df, {t.folder_of(r) for r in repos})
+
+    def _touched(self, name: str, df: DataFrame, keys: tuple[str, ...]) -> list:
+        """The repositories with rows of the keys of df: one value a repository, from a read of the keys alone."""
+        stored = self.read(name).select("repo_id", *[k for k in keys if k != "repo_id"])
+        return [r[0] for r in stored.join(df.select(*keys).distinct(), list(keys), "left_semi").select("repo_id").distinct().collect()]
 
     def upsert(self, name: str, df: DataFrame, *keys: str) -> None:
-        """Delete, then insert: rows with the keys of df are replaced."""
-        self.replace(name, upserted(self.read(name), df.select(*self.read(name).columns), *keys))
+        """Delete, then insert: rows with the keys of df are replaced, wherever they are."""
+        t = self.table(name)
+        new = df.select(*t.schema.names)
+        if t.column is None:
+            return t.commit(upserted(t.read(), new, *keys), None)
+        touched = self._touched(name, new, keys)
+        return t.commit(upserted(t.read(touched), new, *keys), {t.folder_of(v) for v in touched})
 
     def remove(self, name: str, gone: DataFrame, *keys: str) -> None:
-        self.replace(name, without(self.read(name), gone, *keys))
+        """Rows without the keys of `gone`; partitions that lose nothing are not written again."""
+        t = self.table(name)
+        if t.column is None:
+            return t.commit(without(t.read(), gone, *keys), None)
+        touched = self._touched(name, gone, keys)
+        return t.commit(without(t.read(touched), gone, *keys), {t.folder_of(v) for v in touched})
 
     def drop_repository(self, repo_id: str) -> None:
+        """Take a repository's partitions out of every table; nothing is written but the manifests."""
+        for name in SCHEMAS:
+            t = self.table(name)
+            if t.column and t.number() >= 0:
+                t.commit(None, {t.folder_of(repo_id)})
+
+    def vacuum(self, keep: int = 2) -> None:
         for name in SCHEMAS:
-            if self.exists(name) and "repo_id" in SCHEMAS[name]:
-                self.replace(name, self.read(name).where(F.col("repo_id") != repo_id))
+            self.table(name).vacuum(keep)
 
     def repositories(self) -> DataFrame:
         return self.read("repositories").select("repo_id", "alias").distinct()

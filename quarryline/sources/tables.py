@@ -29,14 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by writing df as Parquet under the shared folder and reading it again. The table goes when the driver's
-    Python ends in the usual way, for lazy results still read it before."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name under the shared one; the folder goes when the driver's Python ends in the usual way, for lazy
+    results still read it before."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage by writing df as Parquet under the shared folder and reading it again."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarryline.operators.changes import last_events, upserted, without
+from quarryline.sources.versions import Versions
 
 
 def debounced(events: DataFrame, key: str, time: str, gap: str, delay: str = "10 minutes") -> DataFrame:
@@ -36,18 +38,26 @@ def apply_changes(stored: DataFrame, events: DataFrame, key: str = "path", time:
     return upserted(kept, new, key)
 
 
-def watch(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str = "path", time: str = "ts", action: str = "action", once: bool = True):
-    """Keep the Parquet table at `target` (one version folder a batch) in step with a stream of events.
+def watched(spark: SparkSession, target: str, schema: T.StructType) -> Versions:
+    """The table a watch loop keeps, partitioned by a hash of its key."""
+    return Versions(spark, target, T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]), "bucket")
 
-    A batch writes a new version from the one before; its number names the folder, so a repeated batch overwrites its own
-    result and the sink is idempotent.
+
+def watch(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str = "path", time: str = "ts", action: str = "action", once: bool = True, buckets: int = 64):
+    """Keep the table at `target` in step with a stream of events (read it with `watched(...).read()`).
+
+    A batch writes only the buckets its keys fall into; its number names the version and the manifest it starts from, so a
+    repeated batch overwrites its own result and the sink is idempotent. What the last two batches do not use is removed.
     """
+    table = watched(spark, target, T.StructType([f for f in stream.schema.fields if f.name != action]))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def step(batch: DataFrame, number: int) -> None:
-        before = f"{target}/v={number - 1}" if number else None
-        columns = [c for c in batch.columns if c != action]
-        stored = spark.read.parquet(before) if before else batch.limit(0).select(*columns)
-        apply_changes(stored, batch, key, time, action).write.mode("overwrite").parquet(f"{target}/v={number}")
+        batch = batch.withColumn("bucket", bucket)
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` rows
+        changed = apply_changes(table.read(touched, number - 1), batch, key, time, action)
+        table.commit(changed, {table.folder_of(v) for v in touched}, f"{number}", number - 1)
+        table.vacuum()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()

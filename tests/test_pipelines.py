@@ -28,6 +28,35 @@ def test_index_search_and_update(spark, tmp_path):
     assert store.read("chunks").count() == 0
 
 
+def files_under(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def test_a_change_writes_only_its_partitions(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    schema = "repo_id string, chunk_id string, embedding array<float>, provider string, text_sha string"
+    rows = lambda *r: spark.createDataFrame([(a, b, [1.0], "p", c) for a, b, c in r], schema)
+    store.replace("vectors", rows(("r/1", "a", "1"), ("r 2", "b", "1"), (None, "c", "1"), ("r3", "d", "1")))
+    before = files_under(tmp_path)
+    store.upsert("vectors", rows(("r 2", "b", "2"), ("r 2", "e", "2")), "repo_id", "chunk_id")
+    fresh = files_under(tmp_path) - before
+    assert fresh and all("repo_id=r 2" in f or "repo_id=r%202" in f for f in fresh)
+    before = files_under(tmp_path)
+    store.remove("vectors", rows(("x", "c", "")), "chunk_id")  # the row of a null repository
+    assert files_under(tmp_path) - before == set()
+    store.append("vectors", rows(("r/1", "f", "3")))
+    assert all("r%2F1" in f for f in files_under(tmp_path) - before)
+    assert {(r.repo_id, r.chunk_id, r.text_sha) for r in store.read("vectors").collect()} == {("r/1", "a", "1"), ("r/1", "f", "3"), ("r 2", "b", "2"), ("r 2", "e", "2"), ("r3", "d", "1")}
+    assert {r.chunk_id for r in store.read("vectors", ["r/1"]).collect()} == {"a", "f"}
+    before = files_under(tmp_path)
+    store.drop_repository("r/1")
+    assert files_under(tmp_path) == before and {r.repo_id for r in store.read("vectors").collect()} == {"r 2", "r3"}
+    store.vacuum(keep=1)
+    assert len(files_under(tmp_path)) < len(before) and store.read("vectors").count() == 3
+    empty = Store(spark, str(tmp_path / "none"))
+    assert empty.read("files").count() == 0 and not empty.exists("files")
+
+
 class Broken:
     name, dimensions, max_tokens = "broken", 64, 10
 
