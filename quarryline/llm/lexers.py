@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 #: The language of a path's ending.
 LANGUAGES = {".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".java": "java", ".json": "json"}
 CLOSES = {")": "(", "]": "[", "}": "{"}
+_PY_KINDS = {"name": "i", "string": "s", "number": "n"}
+_BLANK = frozenset(" \t\r\f\v\u00a0\ufeff")
 
 
 @dataclass
@@ -29,8 +31,9 @@ class Lexed:
     error: str = ""
 
 
+#: White space before a token is part of its match, so that it costs no match of its own.
 _COMMON = r"""
-(?P<ws>[ \t\r\f\v ﻿]+)|(?P<nl>\n)
+[ \t\r\f\v ﻿]*(?:(?P<nl>\n\s*)|(?P<done>\Z)
 |(?P<conflict>(?<![^\n])(?:<{7}|>{7}|\|{7}|={7})(?=[ \r\n]|\Z))
 |(?P<line>//[^\n]*)|(?P<block>/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)
 """
@@ -42,7 +45,7 @@ _JS = re.compile(
 |(?P<number>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$]))
 |(?P<open>[(\[{])|(?P<close>[)\]}])
 |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^!~<>=?:;,.])
-|(?P<tick>`)|(?P<private>\#(?:[^\W\d]|\$)[\w$]*)|(?P<at>@)
+|(?P<tick>`)|(?P<private>\#(?:[^\W\d]|\$)[\w$]*)|(?P<at>@))
 """,
     re.X,
 ).match
@@ -54,7 +57,7 @@ _JAVA = re.compile(
 |(?P<number>(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)[lLfFdD]?(?![\w$]))
 |(?P<open>[(\[{])|(?P<close>[)\]}])
 |(?P<op>\.\.\.|->|::|==|!=|<=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<=|[-+*/%&|^!~<>=?:;,.])
-|(?P<at>@)
+|(?P<at>@))
 """,
     re.X,
 ).match
@@ -92,6 +95,8 @@ def lex_braces(text: str, language: str) -> Lexed:
     while pos < n:
         m = match(text, pos)
         if m is None:
+            while text[pos] in _BLANK:
+                pos += 1
             c = text[pos]
             if text.startswith("/*", pos):
                 out.error = "unterminated comment"
@@ -104,64 +109,59 @@ def lex_braces(text: str, language: str) -> Lexed:
             return out
         group = m.lastgroup
         end = m.end()
-        if group == "ws":
-            pos = end
-            continue
-        if group == "nl":
-            new_line, pos = True, end
-            continue
+        v = m[group]
+        at = end - len(v)
         if group == "name":
-            v = m[0]
-            add("k" if v in words and not (kinds and values[-1] in (".", "?.")) else "i", v, pos)
+            add("k" if v in words and not (kinds and values[-1] in (".", "?.")) else "i", v, at)
         elif group == "op":
-            v = m[0]
             if v in ("/", "/=") and not java:
                 last = kinds[-1] if kinds else ""
                 if last not in ("i", "n", "s", "t", "r", ")", "]", "k") or (last in "ik" and values[-1] in _BEFORE_OPERAND and (len(values) < 2 or values[-2] != ".")):
-                    r = _REGEX(text, pos)
+                    r = _REGEX(text, at)
                     if r is None:
                         if last != "}":
                             out.error = "unterminated regular expression"
                             return out
                     else:
-                        add("r", r[0], pos)
+                        add("r", r[0], at)
                         new_line, pos = False, r.end()
                         continue
-            add(v if len(v) == 1 else "o", v, pos)
+            add(v if len(v) == 1 else "o", v, at)
+        elif group == "nl":
+            new_line, pos = True, end
+            continue
         elif group == "open":
-            stack.append((m[0], len(kinds)))
-            add(m[0], m[0], pos)
+            stack.append((v, len(kinds)))
+            add(v, v, at)
         elif group == "close":
-            c = m[0]
-            if not stack or stack[-1][0] != CLOSES[c]:
-                if c == "}" and stack and stack[-1][0] == "`":  # the template goes on
+            if not stack or stack[-1][0] != CLOSES[v]:
+                if v == "}" and stack and stack[-1][0] == "`":  # the template goes on
                     stack.pop()
                     end = _template(text, end, stack, len(kinds), out)
                     if out.error:
                         return out
-                    add("t", "}", pos)
+                    add("t", "}", at)
                     new_line, pos = False, end
                     continue
                 out.error = "unbalanced bracket"
                 return out
-            at = stack.pop()[1]
-            out.match[at] = len(kinds)
-            out.match[len(kinds)] = at
-            add(c, c, pos)
+            partner = stack.pop()[1]
+            out.match[partner] = len(kinds)
+            out.match[len(kinds)] = partner
+            add(v, v, at)
         elif group == "string":
-            add("s", m[0], pos)
+            add("s", v, at)
         elif group == "number":
-            add("n", m[0], pos)
+            add("n", v, at)
         elif group == "tick":
             end = _template(text, end, stack, len(kinds), out)
             if out.error:
                 return out
-            add("t", "`", pos)
+            add("t", "`", at)
         elif group in ("line", "block"):
-            v = m[0]
             if group == "block":
                 if v.startswith("/**") and len(v) > 4:
-                    out.docs.append((pos, end, len(kinds)))
+                    out.docs.append((at, end, len(kinds)))
                 if "\n" in v:
                     new_line = True
             pos = end
@@ -170,9 +170,11 @@ def lex_braces(text: str, language: str) -> Lexed:
             out.error = "merge conflict marker"
             return out
         elif group == "private":
-            add("i", m[0], pos)
+            add("i", v, at)
+        elif group == "done":
+            break
         else:
-            add("@", "@", pos)
+            add("@", "@", at)
         new_line, pos = False, end
     if stack:
         out.error = "unterminated template" if stack[-1][0] == "`" else "unbalanced bracket at the end"
@@ -194,14 +196,14 @@ def _template(text: str, pos: int, stack: list, token: int, out: Lexed) -> int:
 
 _PY = re.compile(
     r"""
-(?P<ws>[ \t\r\f]+|\\\r?\n)|(?P<nl>\n)
+(?:[ \t\r\f]+|\\\r?\n)*(?:(?P<nl>\n\s*)|(?P<done>\Z)
 |(?P<conflict>(?<![^\n])(?:<{7}|>{7}|\|{7}|={7})(?=[ \r\n]|\Z))
 |(?P<comment>\#[^\n]*)
 |(?P<string>(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?!"")(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?!'')(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'))
 |(?P<name>[^\W\d]\w*)
 |(?P<number>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)[jJ]?(?!\w))
 |(?P<open>[(\[{])|(?P<close>[)\]}])
-|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|==|!=|<=|>=|\*\*|//|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%&|^~<>=.,:;@!])
+|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|==|!=|<=|>=|\*\*|//|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%&|^~<>=.,:;@!]))
 """,
     re.X,
 ).match
@@ -216,6 +218,8 @@ def lex_python(text: str) -> Lexed:
     while pos < n:
         m = _PY(text, pos)
         if m is None:
+            while text[pos] in _BLANK:
+                pos += 1
             c = text[pos]
             out.error = "unterminated string" if c in "\"'" else "malformed number" if c.isdigit() else "unexpected character"
             return out
@@ -223,15 +227,19 @@ def lex_python(text: str) -> Lexed:
         if group == "nl":
             if not stack:
                 new_line = True
-        elif group in ("ws", "comment"):
+        elif group == "comment":
             pass
         elif group == "conflict":
             out.error = "merge conflict marker"
             return out
+        elif group == "done":
+            break
         else:
+            v = m[group]
+            start = end - len(v)
             if new_line:
-                at = text.rfind("\n", 0, pos) + 1
-                width = len(text[at:pos].expandtabs(8))
+                at = text.rfind("\n", 0, start) + 1
+                width = len(text[at:start].expandtabs(8))
                 if width > indents[-1]:
                     if kinds and values[-1] != ":" or not kinds:
                         out.error = "unexpected indent"
@@ -243,7 +251,6 @@ def lex_python(text: str) -> Lexed:
                     if width != indents[-1]:
                         out.error = "indentation that matches no block"
                         return out
-            v = m[0]
             if group == "open":
                 stack.append((v, len(kinds)))
             elif group == "close":
@@ -253,9 +260,9 @@ def lex_python(text: str) -> Lexed:
                 at = stack.pop()[1]
                 out.match[at] = len(kinds)
                 out.match[len(kinds)] = at
-            kinds.append({"name": "i", "string": "s", "number": "n"}.get(group, v if len(v) == 1 else "o"))
+            kinds.append(_PY_KINDS.get(group) or (v if len(v) == 1 else "o"))
             values.append(v)
-            starts.append(pos)
+            starts.append(start)
             fresh.append(new_line)
             new_line = False
         pos = end
