@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,20 +93,51 @@ def _multiply(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, right: np.
     return out
 
 
-def _telling(texts: list[str], labels: list[set[str]], index: dict[str, int], subjects: list[str]) -> np.ndarray:
+@dataclass
+class Sample:
+    """Labelled documents as numbers of their words: the words, each document's different ones with their counts, subjects and language."""
+
+    index: dict[str, int]
+    ids: list[np.ndarray]
+    counts: list[np.ndarray]
+    labels: list[set[str]]
+    languages: list[str]
+
+    def add(self, text: str, labels: set[str], language: str) -> None:
+        """The text itself is not kept, so the driver holds eight bytes for a different word of a document."""
+        give = self.index.setdefault
+        ids, counts = np.unique(np.fromiter((give(w, len(self.index)) for w in words(unicodedata.normalize("NFC", text))), np.int32), return_counts=True)
+        self.ids.append(ids)
+        self.counts.append(counts.astype(np.int32))
+        self.labels.append(labels)
+        self.languages.append(language)
+
+    def vocabulary(self) -> list[str]:
+        """Words of two letters or more that stand in LEAST documents."""
+        seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *self.ids]), minlength=len(self.index))
+        return sorted(w for w, k in self.index.items() if seen[k] >= LEAST and len(w) > 1)
+
+    def only(self, vocabulary: list[str]) -> Sample:
+        """The sample over the words of a vocabulary, numbered in its order."""
+        new = np.full(len(self.index) + 1, -1, np.int32)
+        for k, w in enumerate(vocabulary):
+            new[self.index[w]] = k
+        ids = [new[x] for x in self.ids]
+        return Sample({w: k for k, w in enumerate(vocabulary)}, [x[x >= 0] for x in ids], [n[x >= 0] for n, x in zip(self.counts, ids)], self.labels, self.languages)
+
+
+def _telling(sample: Sample, subjects: list[str]) -> np.ndarray:
     """How much a term tells of the subject, 0 to 1: the divergence of the subjects of its documents from those of all
     documents, less what chance gives a term of so few documents."""
-    seen = np.zeros((len(index), len(subjects)))
+    seen = np.zeros((len(sample.index), len(subjects)))
     every = np.zeros(len(subjects))
-    for t, y in zip(texts, labels):
+    for ids, y in zip(sample.ids, sample.labels):
         own = [subjects.index(s) for s in y if s in subjects]
-        if own:
-            ids = [k for w in set(words(t)) if (k := index.get(w)) is not None]
-            for s in own:
-                seen[ids, s] += 1 / len(own)
-                every[s] += 1 / len(own)
+        for s in own:
+            seen[ids, s] += 1 / len(own)
+            every[s] += 1 / len(own)
     if every.sum() == 0:
-        return np.ones(len(index))
+        return np.ones(len(sample.index))
     n = seen.sum(axis=1)
     p = seen / np.maximum(n, 1e-9)[:, None]
     q = np.maximum(every / every.sum(), 1e-9)
@@ -114,24 +145,21 @@ def _telling(texts: list[str], labels: list[set[str]], index: dict[str, int], su
     return np.where(n > 0, np.clip((gain - (len(subjects) - 1) / (2 * np.maximum(n, 1))) / 1.2, 0, 1), 0) ** 1.5
 
 
-def fit(texts: list[str], labels: list[set[str]], languages: list[str], described: dict[str, str], frequency: dict[str, int], total: int) -> Space:
+def fit(sample: Sample, described: dict[str, str], frequency: dict[str, int], total: int) -> Space:
     """Term weighting by the corpus-wide document frequency, truncated singular value decomposition of the sample
     (randomised subspace iteration), seed centroids for each subject and language from the labels, refined by turns of
     assigning the sample and averaging what a centroid keeps of its own label."""
     subjects = sorted(described)
-    index = {w: i for i, w in enumerate(sorted(frequency))}
-    if not index or not texts:
+    sample = sample.only(sorted(frequency))
+    index, labels, languages, n = sample.index, sample.labels, sample.languages, len(sample.ids)
+    if not index or not n:
         return Space({}, np.zeros((0, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1, int), subjects)
     idf = np.log((1 + total) / (1 + np.array([frequency[w] for w in index], dtype=np.float64)))
-    idf *= _telling(texts, labels, index, subjects)
-    rows, cols, values = [], [], []
-    for d, t in enumerate(texts):
-        for k, n in Counter(k for w in words(t) if (k := index.get(w)) is not None).items():
-            rows.append(d)
-            cols.append(k)
-            values.append((1 + np.log(n)) * idf[k])
-    r, c, v = np.asarray(rows, int), np.asarray(cols, int), np.asarray(values, np.float32)
-    n, width = len(texts), len(index)
+    idf *= _telling(sample, subjects)
+    r = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sample.ids])
+    c = np.concatenate(sample.ids)
+    v = ((1 + np.log(np.concatenate(sample.counts))) * idf[c]).astype(np.float32)
+    width = len(index)
     length = np.sqrt(np.bincount(r, v.astype(float) ** 2, n))
     v = (v / np.maximum(length, 1e-9)[r]).astype(np.float32)
     by_col = np.argsort(c, kind="stable")
@@ -179,15 +207,18 @@ def fit(texts: list[str], labels: list[set[str]], languages: list[str], describe
     return Space(index, (terms * idf[:, None]).astype(np.float32), centroids.astype(np.float32), owner, subjects)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, set[str], str]]:
-    """(text, subjects, language) of at most `most` labelled documents chosen by a hash of their id. A document's subjects are
-    those that most of its labels name; ties keep all."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> Sample:
+    """At most `most` labelled documents chosen by a hash of their id. A document's subjects are those that most of its labels
+    name; ties keep all."""
     votes = labels.where("doc_id is not null and subject is not null").groupBy("doc_id", "subject").agg(F.countDistinct("labeler").alias("n"))
     best = votes.groupBy("doc_id").agg(F.max("n").alias("top"), F.collect_list(F.struct("n", "subject")).alias("all"))
     chosen = best.select("doc_id", F.transform(F.filter("all", lambda x: x["n"] == F.col("top")), lambda x: x["subject"]).alias("subjects"))
     chosen = bounded_sample(chosen, ["doc_id"], most)
     rows = documents.select("doc_id", "text", "lang").where(F.length("text") <= FIT_LENGTH).join(F.broadcast(chosen), "doc_id")  # `most` rows
-    return [(r["text"], set(r["subjects"]), (r["lang"] or "")[:2].lower()) for r in rows.toLocalIterator()]
+    sample = Sample({}, [], [], [], [])
+    for r in rows.toLocalIterator():
+        sample.add(r["text"], set(r["subjects"]), (r["lang"] or "")[:2].lower())
+    return sample
 
 
 def document_frequency(documents: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
@@ -219,10 +250,8 @@ def fit_on(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most: i
     """The space fitted on a bounded labelled sample, weighted by frequencies over all documents."""
     described = {r["subject"]: r["description"] or "" for r in subjects.where("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).collect()}  # the list of subjects, each once
     sample = labelled_sample(documents, labels, most)
-    seen = Counter(w for t, _, _ in sample for w in set(words(unicodedata.normalize("NFC", t))))
-    vocabulary = sorted(w for w, n in seen.items() if n >= LEAST and len(w) > 1)
-    frequency, total = document_frequency(documents, vocabulary)
-    return fit([unicodedata.normalize("NFC", t) for t, _, _ in sample], [y for _, y, _ in sample], [x for _, _, x in sample], described, frequency, total)
+    frequency, total = document_frequency(documents, sample.vocabulary())
+    return fit(sample, described, frequency, total)
 
 
 def subject_rows(documents: DataFrame, space: Space, main_share: float = MAIN_SHARE) -> DataFrame:
