@@ -49,26 +49,88 @@ def run_totals(df: DataFrame, by: list[str], value: str, ok: Column) -> DataFram
     )
 
 
+#: Rows of a key that one window task holds at most, and the ranges a table's order is cut into to number rows.
+BLOCK_ROWS, RANGES = 65_536, 200
+
+
+def positions(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Adds _range and _pos: the place (from 0) of each row in the order of its key, though no task sees all rows of a key.
+
+    The first order column is cut into RANGES by approximate quantiles; rows are numbered within (key, range), and a range
+    begins where those before it end. Nulls come first.
+    """
+    kind = dict(df.dtypes)[order[0]]
+    first = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0])
+    rows = df.withColumn("_x", first.cast("double"))
+    splits = sorted(set(rows.approxQuantile("_x", [i / RANGES for i in range(1, RANGES)], 0.01)))
+    rows = rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(x)) for x in splits]), lambda s: s < F.col("_x"))) if splits else F.lit(0)).drop("_x")
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)) - 1
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(by, "_range").agg(F.count("*").alias("_n")).select(F.col(by).alias("_k"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col(by).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r"))
+    return rows.withColumn("_own", own).join(starts, same).withColumn("_pos", F.col("_own") + F.col("_start")).drop("_own", "_start", "_k", "_r")
+
+
+def over_last(df: DataFrame, by: str, order: list[str], rows: int, columns: dict[str, Column | None], frames: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Adds `columns`, aggregates over the last `rows` rows of a key up to each row (or over `frames`, within these), and _pos.
+
+    A key's order is cut into blocks of BLOCK_ROWS; a block also gets the rows before it that its first rows look back to.
+    So a key that holds most rows is many tasks' work.
+    """
+    placed = positions(df, by, order)
+    own = F.floor(F.col("_pos") / BLOCK_ROWS)
+    late = F.col("_pos") % BLOCK_ROWS >= BLOCK_ROWS - (rows - 1)
+    copies = placed.withColumn("_own", own).withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(by, "_block").orderBy("_pos")
+    frames = frames or {}
+    out = copies.withColumns({name: c.over(w.rowsBetween(*frames.get(name, (1 - rows, 0)))) for name, c in columns.items()})
+    return out.where("_block = _own").drop("_own", "_block", "_range")
+
+
 def moving_average(df: DataFrame, by: str, order: list[str], value: str, rows: int, name: str) -> DataFrame:
     """Mean of the last `rows` rows of a group, this one included."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(1 - rows, 0)))
+    return over_last(df, by, order, rows, {name: F.avg(value)}).drop("_pos")
 
 
 def trend(df: DataFrame, by: str, order: list[str], value: str, rows: int = 3) -> DataFrame:
     """Adds recent and previous means of `rows` rows and whether the value fell, held or rose."""
-    w = Window.partitionBy(by).orderBy(*order)
-    out = df.withColumn("recent", F.avg(value).over(w.rowsBetween(1 - rows, 0))).withColumn("previous", F.avg(value).over(w.rowsBetween(1 - 2 * rows, -rows)))
+    out = over_last(df, by, order, 2 * rows, {"recent": F.avg(value), "previous": F.avg(value)}, {"recent": (1 - rows, 0), "previous": (1 - 2 * rows, -rows)}).drop("_pos")
     ratio = F.try_divide(F.col("recent"), F.col("previous"))
     return out.withColumn("trend", F.when(ratio.isNull(), "unknown").when(ratio < 0.95, "falling").when(ratio < 0.98, "easing").otherwise("steady"))
 
 
 def run_lengths(df: DataFrame, by: str, order: list[str], state: Column) -> DataFrame:
-    """Adds state and run: how many rows in a row, up to this one, have the state (gaps and islands)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    out = df.withColumn("state", state)
-    changed = F.when(F.col("state").eqNullSafe(F.lag("state").over(w)), 0).otherwise(1)
-    out = out.withColumn("_c", changed).withColumn("_i", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("run", F.row_number().over(Window.partitionBy(by, "_i").orderBy(*order))).drop("_c", "_i")
+    """Adds state and run: how many rows in a row, up to this one, have the state (gaps and islands).
+
+    Runs are counted within ranges of the order; a row in the first run of its range adds what the ranges before carry over,
+    which a fold over a key's ranges (at most RANGES) gives.
+    """
+    placed = positions(df.withColumn("state", state), by, order)
+    w = Window.partitionBy(by, "_range").orderBy("_pos")
+    out = placed.withColumn("_c", F.when(F.col("state").eqNullSafe(F.lag("state").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    out = out.withColumn("_i", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("run", F.row_number().over(Window.partitionBy(by, "_range", "_i").orderBy("_pos")))
+    last = F.struct("_pos", "state", "run", "_i")
+    edges = out.groupBy(by, "_range").agg(F.min_by("state", "_pos").alias("head"), F.max(last).alias("z"))
+    edges = edges.select(by, F.struct("_range", "head", F.col("z.state").alias("tail"), F.col("z.run").alias("length"), (F.col("z._i") == 1).alias("whole")).alias("e"))
+    zero = F.struct(F.lit(None).cast("boolean").alias("tail"), F.lit(0).alias("length"), F.array().cast("array<struct<_r:int,carry:int>>").alias("out"))
+
+    def step(a, e):
+        carry = F.when((F.size(a["out"]) > 0) & e["head"].eqNullSafe(a["tail"]), a["length"]).otherwise(0)
+        return F.struct(e["tail"].alias("tail"), (e["length"] + F.when(e["whole"], carry).otherwise(0)).cast("int").alias("length"), F.concat(a["out"], F.array(F.struct(e["_range"].alias("_r"), carry.cast("int").alias("carry")))).alias("out"))
+
+    carried = edges.groupBy(by).agg(F.sort_array(F.collect_list("e")).alias("es")).select(F.col(by).alias("_k"), F.explode(F.aggregate("es", zero, step, lambda a: a["out"])).alias("c")).select("_k", "c.*")
+    both = out.join(carried, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return both.withColumn("run", F.col("run") + F.when(F.col("_i") == 1, F.col("carry")).otherwise(0)).drop("_c", "_i", "_k", "_r", "carry", "_range", "_pos")
+
+
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median): the mean of the two values in the middle; equal values are counted before they are sorted."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    run = counted.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda place: F.min(F.when(F.col("_to") > place, F.col(value)))
+    return run.groupBy(*by).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias("median"))
 
 
 def sliding_counts(df: DataFrame, by: str, time: str, value: str, seconds: int = 60) -> DataFrame:

@@ -236,7 +236,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("A25_true_median", "select event_type, round(median(value), 6) as median from events group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+    return M.medians(t.events, ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"))
 
 
 @query("A26_benchmark", f"select {_K} % 5 as config, count(*) as n, round(avg(value), 6) as average, min(value) as least, max(value) as most, round(count(*) filter (event_type = 'error') / count(*), 6) as error_rate from events group by 1")
@@ -359,8 +359,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("W06_eta", "select event_id, round((1000 - row_number() over (partition by event_type order by ts, event_id)) * avg(value) over (partition by event_type order by ts, event_id rows between 19 preceding and current row), 4) as eta from events")
 def _(t: Tables) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return t.events.select("event_id", F.round((1000 - F.row_number().over(w)) * F.avg("value").over(w.rowsBetween(-19, 0)), 4).alias("eta"))
+    return M.over_last(t.events, "event_type", ["ts", "event_id"], 20, {"pace": F.avg("value")}).select("event_id", F.round((999 - F.col("_pos")) * F.col("pace"), 4).alias("eta"))
 
 
 @query("W07_rate_window", "select event_id, count(*) over w as requests, round(sum(value) over w, 4) as amount from events window w as (partition by user_id order by ts range between interval 1 hour preceding and current row)")
