@@ -38,6 +38,20 @@ def passages(text: str) -> list[str]:
     return [p for p in PASSAGE.split(text) if p and not p.isspace()]
 
 
+class Numbers(dict):
+    """The number of a word as it stands in a text, None for words that have none; lower case is made once for each word."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, word: str) -> int | None:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = self.index.get(word.lower())
+        return found
+
+
 @dataclass
 class Space:
     """Terms with their weighted vectors, and the centroids (unit length) with the subject of each."""
@@ -47,13 +61,14 @@ class Space:
     centroids: np.ndarray
     owner: np.ndarray
     subjects: list[str]
+    both: np.ndarray | None = None  # the vectors with their products with the centroids, made once by each worker
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """(texts, subjects): how much of each text's subject-bearing passages is about each subject; zero rows where none is."""
-        get, ids, ends, doc = self.index.get, [], [], []
+        number, ids, ends, doc = Numbers(self.index), [], [], []
         for d, t in enumerate(texts):
             for p in passages(t):
-                found = [k for w in WORD(p) if (k := get(w.lower())) is not None]
+                found = [k for w in WORD(p) if (k := number[w]) is not None]
                 if found:
                     ids += found
                     ends.append(len(ids))
@@ -61,6 +76,10 @@ class Space:
         out = np.zeros((len(texts), len(self.subjects)))
         if not ids:
             return out
+        # a passage's products with the centroids are the sums of its words' products: no matrix product, whose threads would
+        # take cores that belong to other tasks
+        both = np.concatenate([self.vectors, np.einsum("ij,kj->ik", self.vectors, self.centroids)], axis=1) if self.both is None else self.both
+        self.both, width = both, self.vectors.shape[1]
         ids_, starts, doc_ = np.asarray(ids), np.r_[0, ends[:-1]].astype(int), np.asarray(doc)
         best = np.zeros((len(ends), len(self.subjects)), np.float32)
         size = np.zeros(len(ends), np.float32)
@@ -68,9 +87,9 @@ class Space:
         while at < len(ends):  # a bounded number of words at a time
             to = max(at + 1, int(np.searchsorted(ends, starts[at] + 200_000)))
             span = ids_[starts[at] : ends[to - 1]]
-            v = np.add.reduceat(self.vectors[span], starts[at:to] - starts[at])
-            norm = np.linalg.norm(v, axis=1)
-            cos = v @ self.centroids.T / np.maximum(norm, 1e-6)[:, None]
+            v = np.add.reduceat(both[span], starts[at:to] - starts[at])
+            norm = np.sqrt(np.einsum("ij,ij->i", v[:, :width], v[:, :width]))
+            cos = v[:, width:] / np.maximum(norm, 1e-6)[:, None]
             for s in range(len(self.subjects)):
                 best[at:to, s] = cos[:, self.owner == s].max(axis=1, initial=0)
             size[at:to] = norm
@@ -230,13 +249,13 @@ def document_frequency(documents: DataFrame, vocabulary: list[str]) -> tuple[dic
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(index) + 1, np.int64)
+        counts, number = np.zeros(len(index) + 1, np.int64), Numbers(index)
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
                     if not t.isascii():
                         t = unicodedata.normalize("NFC", t)
-                    counts[[k for w in set(words(t)) if (k := index.get(w)) is not None]] += 1
+                    counts[list({number[w] for w in WORD(t)} - {None})] += 1
                     counts[-1] += 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], schema=schema)
