@@ -167,6 +167,12 @@ def file_score(cyclo: Column, depth: Column, functions: Column, classes: Column,
     return F.least(F.greatest(half_up(total), F.lit(1)), F.lit(10))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number as text with so many decimals, halves rounded up in the decimal digits; null for null, NaN and infinities."""
+    finite = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+    return F.round(finite.cast("decimal(20,10)"), digits).cast("string")
+
+
 def version_key(version: Column, parts: int = 4) -> Column:
     """A version's numbers, padded with zeros, for comparison as an array."""
     numbers = F.transform(F.split(version, r"\."), lambda x: F.coalesce(F.try_to_number(x, F.lit("999999999")).cast("int"), F.lit(0)))

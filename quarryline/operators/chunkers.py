@@ -135,3 +135,23 @@ def token_batches(sizes: Column, budget: int, most: int = 1 << 30) -> Column:
         return F.struct(batch.alias("batch"), F.when(cut, x).otherwise(a["sum"] + x).cast("long").alias("sum"), F.when(cut, F.lit(1)).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(batch)).alias("out"))
 
     return F.aggregate(sizes, zero, step, lambda a: a["out"])
+
+
+def whole_texts(chunks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): texts put together from their chunks by line number; lines a chunk before already gave are left out.
+
+    Repeated chunks collapse before the shuffle. A text with a null content among its chunks has none. A chunk without a
+    start goes on where the last one ended.
+    """
+    piece = F.struct(F.coalesce("start_line", F.lit(0)).alias("start"), F.coalesce("end_line", F.lit(0)).alias("end"), "content")
+    lists = chunks.groupBy(*keys).agg(F.sort_array(F.collect_set(piece)).alias("_p"), F.bool_or(F.col("content").isNull()).alias("_lost")).where(~F.col("_lost"))
+    zero = F.struct(F.lit(0).alias("line"), F.array().cast("array<string>").alias("lines"))
+
+    def step(a, p):
+        lines = F.split(p["content"], "\n")
+        start = F.when(p["start"] > 0, p["start"]).otherwise(a["line"] + 1)
+        shared = F.greatest(F.lit(0), a["line"] - start + 1)
+        fresh = F.slice(lines, shared + 1, F.greatest(F.lit(0), F.size(lines) - shared))
+        return F.struct((F.when(F.size(fresh) > 0, start + F.size(lines) - 1).otherwise(a["line"])).cast("int").alias("line"), F.concat(a["lines"], fresh).alias("lines"))
+
+    return lists.select(*keys, F.aggregate("_p", zero, step, lambda a: F.array_join(a["lines"], "\n")).alias("text"))

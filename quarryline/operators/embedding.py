@@ -42,6 +42,18 @@ class HashEmbedder:
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0).tolist()
 
 
+@dataclass
+class Unavailable:
+    """A provider that never answers, to rehearse the fall-back to the next one."""
+
+    name: str = "unavailable"
+    dimensions: int = 64
+    max_tokens: int = 8192
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        raise OSError("not available")
+
+
 #: Dimensions and token limits of known providers; their clients are given by the user.
 PROVIDERS = {"ollama": (768, 8192), "openai": (1536, 8192), "huggingface": (384, 512), "cohere": (1024, 512)}
 _registry: dict[str, Callable[[], Embedder]] = {"hash": HashEmbedder}

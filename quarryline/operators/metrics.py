@@ -146,6 +146,23 @@ def evictions(df: DataFrame, by: str, order: list[str], size: str, limit: float)
     return df.withColumn("kept_size", F.sum(size).over(newest)).withColumn("evicted", F.col("kept_size") > limit)
 
 
+def separation(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """(separation): the mean cosine of all pairs with the same label less that of all other pairs.
+
+    A sum over pairs of unit vectors is the square of their sum less their own squares, so only one sum of vectors a label
+    is needed, and no pair is made. Zero vectors have no direction and do not count.
+    """
+    unit = df.where(F.exists(vector, lambda x: x != 0)).select(F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    parts = unit.select("l", F.posexplode(F.transform("v", lambda x: x / length)).alias("k", "x")).groupBy("l", "k").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    labels = parts.groupBy("l").agg(F.sum(F.col("s") ** 2).alias("square"), F.max("n").alias("n"))
+    same = labels.agg(F.sum((F.col("square") - F.col("n")) / 2).alias("same"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n"))
+    every = parts.groupBy("k").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") ** 2).alias("square"))
+    both = same.crossJoin(every)  # one row each
+    pairs, total = F.col("n") * (F.col("n") - 1) / 2, (F.col("square") - F.col("n")) / 2
+    return both.select((F.try_divide("same", "pairs") - F.try_divide(total - F.col("same"), pairs - F.col("pairs"))).alias("separation"))
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's, 0 where it is not defined."""
     return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))

@@ -24,6 +24,11 @@ def chunked(files: DataFrame, repo_id: str, target: int) -> DataFrame:
     rows = rows.select("rel_path", "file_hash", "language", F.col("chunk_no").alias("ordinal"), "start_line", "end_line", "size", F.col("chunk").alias("content"))
     rows = rows.where(X.tokens_estimated(F.col("content")) <= 2048)
     rows = rows.withColumn("repo_id", F.lit(repo_id)).withColumn("chunk_id", X.chunk_id(F.lit(repo_id), F.col("rel_path"), F.col("ordinal"), F.col("file_hash")))
+    return with_structure(rows)
+
+
+def with_structure(rows: DataFrame) -> DataFrame:
+    """Adds the five kinds of symbols of each row's language, and its kind."""
     known = sorted(k for k in N.PATTERNS if k)
     for kind in N.KINDS:  # one expression a kind: the language picks its patterns
         value = N.symbols(F.col("content"), "", kind)
@@ -34,6 +39,26 @@ def chunked(files: DataFrame, repo_id: str, target: int) -> DataFrame:
     return rows.withColumn("kind", F.when(some("functions"), "function").when(some("classes"), "class").when(some("imports"), "import").when(some("comments"), "comment").otherwise("code"))
 
 
+def migrate(store: Store, legacy: DataFrame, repo_id: str) -> None:
+    """Bring chunks of the plain kind (chunk_id, rel_path, file_hash, ordinal, start_line, end_line, size, content) into the store
+    with their structure; those that are there already stay as they are, so it can be repeated."""
+    new = C.without(legacy, store.read("chunks", [repo_id]), "chunk_id")
+    rows = with_structure(new.withColumns({"repo_id": F.lit(repo_id), "language": X.language(F.col("rel_path"))}))
+    store.append("chunks", rows.select(*store.read("chunks").columns))
+
+
+def repaired(chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, vectors, report): each chunk once and with text, vectors only of chunks that there are; report has what was
+    (repeated, without_text, orphans) and what is still to be embedded (missing)."""
+    per = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("content").alias("content"))
+    good = per.where("content is not null").select("chunk_id", "content")
+    kept = C.only(vectors, good, "chunk_id")
+    counts = per.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("content").isNull()).alias("without_text"))
+    orphans = C.without(vectors, good, "chunk_id").agg(F.count("*").alias("orphans"))
+    missing = C.without(good, vectors, "chunk_id").agg(F.count("*").alias("missing"))
+    return good, kept, counts.crossJoin(orphans).crossJoin(missing)  # one row each
+
+
 def index_repository(spark: SparkSession, root: str, store: Store, repo_id: str, config: Config | None = None, force: bool = False) -> dict[str, int]:
     """Bring the store in step with a directory tree: only added and modified files are chunked and embedded, deleted ones
     leave. Returns counts of added, modified, deleted and unchanged files."""
@@ -92,3 +117,9 @@ def summarise(files: DataFrame, repo: str, path: str, text: str) -> DataFrame:
     uses = F.when(n > 0, F.concat(F.lit("The project uses "), F.array_join(F.slice("t", 1, 3), ", "), F.when(n > 3, F.concat(F.lit(" and "), (n - 3).cast("string"), F.lit(" other technologies"))).otherwise(""), F.lit(".")))
     first = F.concat(F.lit("This is a "), F.col("language"), F.lit(" project with "), F.col("files").cast("string"), F.lit(" files and approximately "), F.col("loc").cast("string"), F.lit(" lines of code."))
     return primary.join(total, repo).join(tech, repo, "left").select(repo, F.concat_ws(" ", first, uses, F.when(F.col("tests"), "The project includes test files."), F.when(F.col("docs"), "Documentation is present.")).alias("overview"))
+
+
+def updated_summaries(stored: DataFrame, files: DataFrame, changed: DataFrame, repo: str, path: str, text: str) -> DataFrame:
+    """(repo, overview) after a change: only the files of the repositories in `changed` are read again; the others keep theirs."""
+    fresh = summarise(C.only(files, changed, repo), repo, path, text)
+    return C.without(stored, changed, repo).unionByName(fresh)

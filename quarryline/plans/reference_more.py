@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,12 +9,16 @@ from pyspark.sql.window import Window
 from quarryline.functions import text as X
 from quarryline.functions import vectors as V
 from quarryline.operators import changes as C
+from quarryline.operators import chunkers as K
 from quarryline.operators import embedding as E
 from quarryline.operators import metrics as M
 from quarryline.operators import relations as L
 from quarryline.operators import retrieval as R
+from quarryline.operators import scripts as J
+from quarryline.operators import summary as P
 from quarryline.plans import pipelines
-from quarryline.plans.reference_scan import _LOC, ENDING, _map
+from quarryline.plans.reference_scan import _LANG, _LOC, COMPLEXITY, ENDING, _map
+from quarryline.plans.reference_stats import _ENDS, _RULES
 from quarryline.plans.registry import Registry, Tables
 from quarryline.sources.store import Store
 from quarryline.sources.tables import shared_folder
@@ -29,9 +31,6 @@ TECHNOLOGY_NAMES = {
     "javascript": "JavaScript", "typescript": "TypeScript", "react": "React", "vue": "Vue.js", "angular": "Angular", "python": "Python", "java": "Java", "csharp": "C#", "cpp": "C++", "php": "PHP", "html": "HTML", "css": "CSS", "sass": "Sass/SCSS", "less": "LESS", "sql": "SQL", "powershell": "PowerShell",
     "aws": "Amazon Web Services", "gcp": "Google Cloud Platform", "azure": "Microsoft Azure", "ibm-ace": "IBM App Connect Enterprise", "msgflow": "IBM Message Flow", "esql": "IBM ESQL", "dataweave": "Mulesoft DataWeave", "yaml": "YAML", "cloudformation": "AWS CloudFormation",
 }
-#: Packages that show a technology.
-PACKAGES = {"react": "React", "vue": "Vue.js", "angular": "Angular", "express": "Express.js", "next": "Next.js", "nuxt": "Nuxt.js", "webpack": "Webpack", "vite": "Vite", "typescript": "TypeScript", "jest": "Jest", "mocha": "Mocha", "cypress": "Cypress"}
-
 
 def ok() -> Column:
     return F.col("event_type") != "error"
@@ -56,7 +55,12 @@ def _(t: Tables) -> DataFrame:
     return t.index_entries.select("entry_id", F.coalesce(F.nullif("code_language", F.lit("")), inferred).alias("language"))
 
 
-@query("F25_insights")
+@query(
+    "F25_insights",
+    COMPLEXITY
+    + """select chunk_id, unnest(list_filter([case when depth > 4 then 'Deep nesting detected - consider extracting methods' end, case when cyclomatic > 15 then 'High cyclomatic complexity - consider breaking down complex functions' end,
+  case when functions > 50 then 'Large number of functions - consider organizing into modules' end], lambda x: x is not null)) as insight from s""",
+)
 def _(t: Tables) -> DataFrame:
     c, lang = F.col("content"), X.display_language(F.col("relative_path"))
     m = t.chunks.where("content is not null").select("chunk_id", X.cyclomatic(c, lang).alias("cyclo"), X.nesting_depth(c).alias("depth"), X.function_count(c, lang).alias("functions"))
@@ -83,10 +87,9 @@ def _(t: Tables) -> DataFrame:
     return rows.select("chunk_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*export\s+(?:class|function|const|let|var)\s+([^\s(]+)"), 1)).alias("name"))
 
 
-@query("F29_score_text", "select query_id, hit_no, printf('%.4f', floor(score * 10000 + 0.5) / 10000) as shown from search_results where score between 0 and 1 and abs(score * 10000 + 0.5 - round(score * 10000 + 0.5)) > 0.000001")
+@query("F29_score_text", "select query_id, hit_no, round(try_cast(case when isfinite(score) then score end as decimal(20, 10)), 4)::varchar as shown from search_results")
 def _(t: Tables) -> DataFrame:
-    x = F.col("score") * 10000 + 0.5
-    return t.search_results.where(F.col("score").between(0, 1) & (F.abs(x - F.rint(x)) > 0.000001)).select("query_id", "hit_no", F.format_string("%.4f", F.floor(x) / 10000.0).alias("shown"))
+    return t.search_results.select("query_id", "hit_no", X.fixed(F.col("score"), 4).alias("shown"))
 
 
 @query("F30_technology_names", "select distinct coalesce((MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in TECHNOLOGY_NAMES.items()) + "})[primary_language], upper(primary_language[1]) || primary_language[2:]) as name from repositories")
@@ -95,23 +98,41 @@ def _(t: Tables) -> DataFrame:
     return t.repositories.select(F.coalesce(X.mapped(TECHNOLOGY_NAMES, n), F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 200))).alias("name")).distinct()
 
 
-@query("F33_overview")
-def _(t: Tables) -> DataFrame:
-    return pipelines.summarise(t.chunks.where("content is not null"), "repo_id", "relative_path", "content")
+#: Manifests as projects have them; the tables hold none.
+MANIFESTS = [
+    ("web", "package.json", '{"name": "x", "scripts": {"build": "vite build", "test": "jest --ci"}, "dependencies": {"react": "^18.2.0", "react-dom": "^18.2.0", "left-pad": "1.3.0"}, "devDependencies": {"vite": "5.0.0"}, "peerDependencies": {"next": ">=13"}}'),
+    ("web", "app/package.json", "{not json"),
+    ("api", "requirements.txt", "# pinned\nDjango==4.2\nrequests>=2.0 # http\nnumpy~=1.26\n-r more.txt\n\nflask"),
+    ("svc", "Cargo.toml", '[package]\nname = "svc"\n\n[dependencies]\nactix-web = "4"\nserde = { version = "1.0", features = ["derive"] }\n\n[dev-dependencies]\nrocket = "0.5"\n'),
+    ("jvm", "pom.xml", "<project><dependencies><dependency><groupId>org.springframework.boot</groupId><artifactId>spring-boot-starter</artifactId><version>3.1.0</version></dependency><dependency><groupId>org.hibernate</groupId><artifactId>hibernate-core</artifactId></dependency></dependencies></project>"),
+    ("jvm", "notes.txt", "react"),
+]
+
+
+def _manifests(t: Tables) -> DataFrame:
+    """The manifests above and those among the chunks (a file's text in one chunk)."""
+    own = t.spark.createDataFrame(MANIFESTS, "repo string, path string, content string")
+    return own.unionByName(t.chunks.where(F.col("relative_path").rlike(r"(package\.json|requirements\.txt|Cargo\.toml|pom\.xml)$")).select(F.col("repo_id").cast("string").alias("repo"), F.col("relative_path").alias("path"), "content"))
 
 
-@query("F35_dependencies", "select doc_id, k as dependency from (select doc_id, unnest(['react', 'jest', 'lib' || (doc_id % 5)]) as k from documents)")
+@query(
+    "F35_dependencies",
+    """select * from (values ('web', 'package.json', 'dependencies', 'react', '^18.2.0'), ('web', 'package.json', 'dependencies', 'react-dom', '^18.2.0'), ('web', 'package.json', 'dependencies', 'left-pad', '1.3.0'), ('web', 'package.json', 'devDependencies', 'vite', '5.0.0'), ('web', 'package.json', 'peerDependencies', 'next', '>=13'),
+('api', 'requirements.txt', 'dependencies', 'django', '4.2'), ('api', 'requirements.txt', 'dependencies', 'requests', '2.0'), ('api', 'requirements.txt', 'dependencies', 'numpy', '1.26'), ('api', 'requirements.txt', 'dependencies', 'flask', null), ('svc', 'Cargo.toml', 'dependencies', 'actix-web', '4'), ('svc', 'Cargo.toml', 'dependencies', 'serde', '1.0'),
+('jvm', 'pom.xml', 'dependencies', 'org.springframework.boot:spring-boot-starter', '3.1.0'), ('jvm', 'pom.xml', 'dependencies', 'org.hibernate:hibernate-core', null)) v(repo, manifest, scope, name, version)""",
+)
 def _(t: Tables) -> DataFrame:
-    manifest = F.concat(F.lit('{"dependencies": {"react": "1"}, "devDependencies": {"jest": "2", "lib'), (F.col("doc_id") % 5).cast("string"), F.lit('": "3"}}'))
-    j = F.from_json(manifest, "dependencies map<string,string>, devDependencies map<string,string>")
-    return t.documents.select("doc_id", j.alias("j")).select("doc_id", F.explode(F.concat(F.map_keys("j.dependencies"), F.map_keys("j.devDependencies"))).alias("dependency"))
+    return P.dependencies(_manifests(t), "repo", "path", "content").select("repo", "manifest", "scope", "name", "version")
 
 
-@query("F36_package_technologies", "select doc_id, unnest(case doc_id % 3 when 0 then ['React'] when 1 then ['Jest', 'Vite'] else [] end) as technology from documents")
+@query(
+    "F36_package_technologies",
+    """select * from (values ('web', 'react', 0.9, 4, 'dependency'), ('web', 'next.js', 0.9, 1, 'dependency'), ('web', 'vite', 0.8, 1, 'script'), ('web', 'jest', 0.8, 1, 'script'), ('api', 'django', 0.9, 1, 'dependency'), ('api', 'numpy', 0.9, 1, 'dependency'), ('api', 'flask', 0.9, 1, 'dependency'),
+('svc', 'actix', 0.9, 1, 'dependency'), ('jvm', 'spring-boot', 0.9, 1, 'dependency'), ('jvm', 'hibernate', 0.9, 1, 'dependency')) v(repo, technology, confidence, detections, sources)""",
+)
 def _(t: Tables) -> DataFrame:
-    names = F.when(F.col("doc_id") % 3 == 0, '{"react": "1", "left-pad": "1"}').when(F.col("doc_id") % 3 == 1, '{"jest": "1", "vite": "2"}').otherwise("no json")
-    found = F.transform(F.coalesce(F.map_keys(F.from_json(names, "map<string,string>")), F.array().cast("array<string>")), lambda k: X.mapped(PACKAGES, k))
-    return t.documents.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("technology"))
+    out = P.dependency_technologies(_manifests(t), "repo", "path", "content")
+    return out.select("repo", "technology", F.col("confidence").cast("decimal(2,1)").alias("confidence"), F.col("detections").cast("int").alias("detections"), F.array_join("sources", ",").alias("sources"))
 
 
 @query("F41_needs_reindex", "select vec_id, len(embedding) is distinct from 64 or provider is distinct from 'local-embed' as needs from embedded_chunks where vec_id is not null")
@@ -184,9 +205,10 @@ def _(t: Tables) -> DataFrame:
     return t.chunks.select("content").join(F.broadcast(rules), F.expr("content rlike pattern")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("U01_bag_union", "select chunk_id from chunks where repo_id = 7 union all select chunk_id from chunks where repo_id = 8")
+@query("U01_bag_union", "select chunk_id, 'chunk' as kind from chunks union all select entry_id, 'entry' from index_entries union all select chunk_id, 'vector' from embedded_chunks")
 def _(t: Tables) -> DataFrame:
-    return t.chunks.where("repo_id = 7").select("chunk_id").unionByName(t.chunks.where("repo_id = 8").select("chunk_id"))
+    part = lambda df, column, kind: df.select(F.col(column).alias("chunk_id"), F.lit(kind).alias("kind"))
+    return part(t.chunks, "chunk_id", "chunk").unionByName(part(t.index_entries, "entry_id", "entry")).unionByName(part(t.embedded_chunks, "chunk_id", "vector"))
 
 
 @query("U04_intersection", "select distinct lang from documents where doc_kind = 'readme' and lang is not null intersect select distinct lang from documents where doc_kind = 'issue'")
@@ -215,11 +237,9 @@ def _(t: Tables) -> DataFrame:
     return b.agg(F.max_by("k", F.struct("v", -F.col("k"))).alias("k"))
 
 
-@query("A34_separation", "with p as (select a.label = b.label as same, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select round(avg(c) filter (same) - avg(c) filter (not same), 6) as separation from p")
+@query("A34_separation", "with p as (select a.label = b.label as same, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on b.vec_id > a.vec_id) select round(avg(c) filter (same) - avg(c) filter (not same), 6) as separation from p")
 def _(t: Tables) -> DataFrame:
-    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("l2"), F.col("embedding").alias("e2"))
-    p = t.embeddings.join(b, "vec_id").select((F.col("label") == F.col("l2")).alias("same"), V.cosine(F.col("embedding"), F.col("e2")).alias("c"))
-    return p.agg(F.round(F.avg(F.when(F.col("same"), F.col("c"))) - F.avg(F.when(~F.col("same"), F.col("c"))), 6).alias("separation"))
+    return M.separation(t.embeddings, "label", "embedding").select(F.round("separation", 6).alias("separation"))
 
 
 @query("A41_client_health", "with a as (select user_id, count(*) as n, count(*) filter (event_type <> 'error') as good, count(*) filter (event_type = 'signup') as f from events group by 1) select user_id, round(100.0 * good / n, 6) as uptime, round(greatest(0, least(100, 100.0 * good / n - 10.0 * f / n)), 6) as health from a")
@@ -242,10 +262,44 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.round(F.count("*") / (F.max(at) - F.min(at)), 9).alias("per_second"))
 
 
+def _scripts(t: Tables) -> DataFrame:
+    """The structure of every version of a script file whose text is whole."""
+    texts = K.whole_texts(t.chunks.where(F.col("relative_path").rlike(r"\.(js|mjs|cjs|ts)$")), "file_id", "file_hash", "relative_path")
+    rows = texts.select(F.concat_ws(":", "file_id", "file_hash").alias("key"), "text", F.when(F.col("relative_path").endswith(".ts"), "typescript").otherwise("javascript").alias("language"))
+    return J.script_structure(rows, "key", "text", "language")
+
+
+#: The whole texts of script files, line by line, with the comments and literals that the patterns below must not see blanked.
+_SCRIPT_TEXTS = r"""with l as (select distinct file_id, file_hash, start_line + i as line, string_split(content, chr(10))[i + 1] as x from (select *, unnest(range(0, len(string_split(content, chr(10))))) as i from chunks where regexp_matches(relative_path, '\.(js|mjs|cjs|ts)$') and content is not null)),
+lost as (select distinct file_id, file_hash from chunks where content is null),
+f as (select file_id || ':' || file_hash as key, string_agg(x, chr(10) order by line) as text from l where not exists (select 1 from lost where lost.file_id = l.file_id and lost.file_hash = l.file_hash) group by 1)
+"""
+
+
+@query("K11_classes", _SCRIPT_TEXTS + r"select key, unnest(regexp_extract_all(text, '(?m)^(?:public )?(?:export )?(?:default )?(?:abstract )?class (\w+)(?:<[^>{]*>)?(?: extends \w+)?[^{\n]*\{', 1)) as name from f")
+def _(t: Tables) -> DataFrame:
+    return _scripts(t).where("kind = 'class' and owner = 'global'").select("key", "name")
+
+
+@query("K11_functions")
+def _(t: Tables) -> DataFrame:
+    return _scripts(t).where("kind in ('function', 'method')").select("key", "kind", "name", "type", "owner", "line", F.array_join("parameters", ",").alias("parameters"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("K11_variables")
+def _(t: Tables) -> DataFrame:
+    return _scripts(t).where("kind = 'variable'").groupBy("owner", "name", "type").agg(F.count("*").alias("n"))
+
+
+@query("J12_resolved_calls")
+def _(t: Tables) -> DataFrame:
+    return J.resolved_calls(_scripts(t))
+
+
 @query("A46_call_graph")
 def _(t: Tables) -> DataFrame:
-    rows = t.chunks.where("content is not null").select("chunk_id", "content", X.language(F.col("relative_path")).alias("language"))
-    return L.call_graph(L.relationships(rows, "chunk_id", "content", "language")).select("key", "source", F.array_join("callees", ",").alias("callees"))
+    calls = _scripts(t).where("kind = 'call' and owner <> 'global'").select("key", F.lit("call").alias("type"), F.col("owner").alias("source"), F.col("name").alias("target"))
+    return L.call_graph(calls).select("key", "source", F.array_join("callees", ",").alias("callees"))
 
 
 #: Fixed snippets for languages that the tables do not hold.
@@ -316,7 +370,7 @@ def _(t: Tables) -> DataFrame:
     return t.chunks.where("content is not null").select("chunk_id", X.code_lines(F.col("content")).alias("loc"), F.regexp_count("content", F.lit("(?m)^import ")).alias("imports"))
 
 
-@query("Y14_file_complexity")
+@query("Y14_file_complexity", COMPLEXITY + "select * from s")
 def _(t: Tables) -> DataFrame:
     c, lang = F.col("content"), X.display_language(F.col("relative_path"))
     m = t.chunks.where("content is not null").select("chunk_id", X.cyclomatic(c, lang).alias("cyclomatic"), X.nesting_depth(c).alias("depth"), X.function_count(c, lang).alias("functions"), X.class_count(c).alias("classes"), X.strict_code_lines(c).alias("loc"))
@@ -331,13 +385,13 @@ def _(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ plug-ins and composite jobs
 
 
-@query("X01_embedded_texts")
+@query("X01_embedded_texts", "select chunk_id as key, case when content is not null and length(content) <= 32768 then 'hash' end as provider, case when content is null then 'no text' when length(content) > 32768 then 'over the token limit' end as error, case when content is not null and length(content) <= 32768 then case when regexp_matches(content, '[^ \\t\\r\\n\\f\\v]') then 1.0 else 0.0 end end::double as norm from chunks")
 def _(t: Tables) -> DataFrame:
     out = E.embedded(t.chunks, "chunk_id", "content", lambda: [E.HashEmbedder()])
     return out.select("key", "provider", "error", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
-@query("X03_cached_embeddings")
+@query("X03_cached_embeddings", "select doc_id, coalesce(length(text) <= 32768, false) as embedded from documents")
 def _(t: Tables) -> DataFrame:
     empty = t.spark.createDataFrame([], "model string, text_sha string, embedding array<float>")
     rows, _ = E.with_cache(t.documents.select("doc_id", "text"), "doc_id", "text", empty, lambda: [E.HashEmbedder()], "hash")
@@ -350,9 +404,27 @@ def _(t: Tables) -> DataFrame:
     return pipelines.chunked(files, "all", 4000).select("chunk_id", "rel_path", "ordinal", "start_line", "end_line", "size", "kind")
 
 
-@query("M06_project_summary", "select repo_id, count(*) as files, count(distinct extension) as endings from files group by 1")
+_SUMMARY = f"""with r as (select repo_id, relative_path, {_LANG} as language, {_LOC.replace(chr(123) + '0' + chr(125), '')} as loc, lower(regexp_extract(relative_path, '(\\.[^./]*)$', 1)) as ending from chunks where content is not null),
+per as (select repo_id, language, sum(loc) as loc from r group by all),
+prim as (select repo_id, coalesce(max(language) filter (n = 1 and loc > 0), 'Unknown') as language from (select *, row_number() over (partition by repo_id order by loc desc, language) as n from per) group by 1),
+tot as (select repo_id, count(*) as files, sum(loc) as loc, bool_or(contains(relative_path, 'test') or contains(relative_path, 'spec')) as tests, bool_or(contains(lower(relative_path), 'readme') or contains(relative_path, 'doc')) as docs from r group by 1),
+rules(technology, part) as (values {_RULES}), ends(technology, ending) as (values {_ENDS}),
+tech as (select repo_id, list_sort(list(distinct technology)) as t from (select repo_id, technology from r join rules on contains(lower(relative_path), part) union all select repo_id, technology from r join ends using (ending)) group by 1)
+select repo_id, concat_ws(' ', 'This is a ' || language || ' project with ' || files || ' files and approximately ' || loc || ' lines of code.',
+  case when len(t) > 3 then 'The project uses ' || array_to_string(t[1:3], ', ') || ' and ' || (len(t) - 3) || ' other technologies.' when len(t) > 0 then 'The project uses ' || array_to_string(t, ', ') || '.' end,
+  case when tests then 'The project includes test files.' end, case when docs then 'Documentation is present.' end) as overview from prim join tot using (repo_id) left join tech using (repo_id)"""
+
+query("F33_overview", _SUMMARY)(lambda t: pipelines.summarise(t.chunks.where("content is not null"), "repo_id", "relative_path", "content"))
+
+
+@query("M06_project_summary", _SUMMARY)
 def _(t: Tables) -> DataFrame:
-    return t.files.groupBy("repo_id").agg(F.count("*").alias("files"), F.countDistinct("extension").alias("endings"))
+    # what is stored is out of date for the repositories that have changed since; only these are summarised again
+    files = t.chunks.where("content is not null").select("repo_id", "relative_path", "content")
+    changed = t.files.where(F.col("last_modified") > F.lit("2025-07-15").cast("timestamp_ntz")).select("repo_id").distinct()
+    full = pipelines.summarise(files, "repo_id", "relative_path", "content")
+    stale = full.join(changed.withColumn("_old", F.lit(True)), "repo_id", "left").select("repo_id", F.when(F.col("_old"), "out of date").otherwise(F.col("overview")).alias("overview"))
+    return pipelines.updated_summaries(stale, files, changed, "repo_id", "relative_path", "content")
 
 
 @query("M14_snapshot_restored", "select file_id, arg_max(hash, (last_modified, hash)) as hash from files where last_modified <= timestamp '2025-07-15' group by 1")
@@ -423,6 +495,14 @@ def _(t: Tables) -> DataFrame:
     return C.without(t.chunks.select("chunk_id", "relative_path"), t.files.where("file_id % 10 = 0"), "relative_path").select("chunk_id").distinct()
 
 
-@query("M13_migration", "select distinct c.chunk_id from chunks c where c.chunk_id not in (select entry_id from index_entries where entry_id is not null)")
+@query("M13_migration", "select distinct chunk_id, chunk_id not in (select entry_id from index_entries where entry_id is not null) as migrated, len(regexp_extract_all(content, '(?:@\\w+(?:\\([^)]*\\))?\\s*\\n\\s*)*def\\s+(\\w+)\\s*\\(([^)]*)\\)(?:\\s*->\\s*([^:]+))?:')) as functions from chunks where content is not null and ends_with(relative_path, '.py')")
 def _(t: Tables) -> DataFrame:
-    return C.without(t.chunks.select("chunk_id"), t.index_entries.select(F.col("entry_id").alias("chunk_id")), "chunk_id").distinct()
+    store = _store(t)
+    legacy = t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".py")).select("chunk_id", F.col("relative_path").alias("rel_path"), "file_hash", "ordinal", "start_line", "end_line", "size", "content").dropDuplicates(["chunk_id"])
+    known = t.index_entries.select(F.col("entry_id").alias("chunk_id"))
+    rows = legacy.withColumns({"repo_id": F.lit("all"), "language": X.language(F.col("rel_path"))})
+    columns = store.read("chunks").columns
+    store.replace("chunks", pipelines.with_structure(C.only(rows, known, "chunk_id")).select(*columns))
+    before = store.read("chunks").select("chunk_id", F.lit(False).alias("_old"))
+    pipelines.migrate(store, legacy, "all")
+    return store.read("chunks").join(before, "chunk_id", "left").select("chunk_id", F.coalesce("_old", F.lit(True)).alias("migrated"), F.size("functions").alias("functions"))

@@ -98,7 +98,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _code(language: str, names: str, quoted: str) -> str:
-    words = ", ".join(f"'{w}'" for w in R.KEYWORDS[language].split())
+    words = ", ".join(f"'{w}'" for w in R.KEYWORDS["python" if language == "py" else language].split())
     return f"""select chunk_id, term, count(*) as tf from (
   select chunk_id, unnest(list_filter(list_transform(regexp_extract_all(content, '{names}', 1), lambda x: lower(x)), lambda x: x not in ({words})) ||
     flatten(list_transform(list_filter({quoted}, lambda x: length(x) between 3 and 49), lambda x: list_filter(string_split_regex(lower(x), '[^a-zA-Z0-9]+'), lambda y: length(y) > 2)))) as term
@@ -111,7 +111,10 @@ def _(t: Tables) -> DataFrame:
     return R.term_frequency(java, "chunk_id", R.code_terms(F.col("content"), "java"))
 
 
-@query("R07_python_terms")
+_PY_QUOTED = """list_transform(regexp_extract_all(content, '"[^"''`]+"|''[^"''`]+''|`[^"''`]+`'), lambda x: x[2:-2])"""
+
+
+@query("R07_python_terms", _code("py", r"\b([a-zA-Z_][a-zA-Z_0-9]*)", _PY_QUOTED))
 def _(t: Tables) -> DataFrame:
     rows = t.chunks.where(F.col("relative_path").endswith(".py") & F.col("content").isNotNull()).select("chunk_id", "content").distinct()
     return R.term_frequency(rows, "chunk_id", R.code_terms(F.col("content"), "python"))
@@ -141,15 +144,6 @@ def _(t: Tables) -> DataFrame:
     return v.join(b, "doc_id", "left").select("doc_id", F.round(R.hybrid(F.col("cosine"), R.normalised(F.coalesce("score", F.lit(0.0)))), 6).alias("score"))
 
 
-@query("R11_context_blocks", "select doc_id, '## ' || rank || '. ' || source || ' (1-1)' || chr(10) || '```' || coalesce(lang, '') || chr(10) || text || chr(10) || '```' || chr(10) as block from (select *, row_number() over (order by n_chars desc, doc_id) as rank from documents where text is not null order by n_chars desc, doc_id limit 8)")
-def _(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    best = t.documents.where("text is not null").orderBy(F.desc("n_chars"), "doc_id").limit(8)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))  # eight rows
-    return ranked.select("doc_id", R.context_block(F.col("rank"), F.col("source"), F.lit("1-1"), F.col("lang"), F.col("text")).alias("block"))
-
-
 @query("R12_symbols", "select entry_id, function_name as symbol, 12 as kind from index_entries where contains(lower(function_name), 'league') union all select entry_id, class_name, 5 from index_entries where contains(lower(class_name), 'league')")
 def _(t: Tables) -> DataFrame:
     e = t.index_entries

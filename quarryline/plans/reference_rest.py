@@ -34,17 +34,17 @@ def _(t: Tables) -> DataFrame:
     return t.files.where("size <= 10485760 and size > 0").select("file_id", X.ending(F.col("relative_path")).alias("extension"), "hash", "size")
 
 
-@query("S16_vector_source", "select v.chunk_id, count(*) as n from embedded_chunks v join (select distinct chunk_id from chunks where repo_id = 7) c using (chunk_id) where v.embedding is not null group by 1")
+@query("S16_vector_source", "select c.repo_id, v.chunk_id, count(*) as n from embedded_chunks v join (select distinct repo_id, chunk_id from chunks) c using (chunk_id) where v.embedding is not null group by all")
 def _(t: Tables) -> DataFrame:
-    wanted = t.chunks.where("repo_id = 7").select("chunk_id").distinct()
-    return t.embedded_chunks.where("embedding is not null").join(wanted, "chunk_id").groupBy("chunk_id").agg(F.count("*").alias("n"))
+    owners = t.chunks.select("repo_id", "chunk_id").distinct()
+    return t.embedded_chunks.where("embedding is not null").join(owners, "chunk_id").groupBy("repo_id", "chunk_id").agg(F.count("*").alias("n"))
 
 
 @query("S18_enriched_round_trip")
 def _(t: Tables) -> DataFrame:
     store = Store(t.spark, shared_folder(t.spark, "store"))
-    files = t.chunks.where("content is not null and ordinal = 0").groupBy("file_id").agg(F.min_by(F.struct("relative_path", "file_hash", "content"), "chunk_id").alias("c"))
-    rows = files.select(F.col("c.relative_path").alias("rel_path"), F.col("c.file_hash").alias("hash"), X.language(F.col("c.relative_path")).alias("language"), F.col("c.content").alias("content"))
+    texts = K.whole_texts(t.chunks, "file_id", "file_hash", "relative_path")
+    rows = texts.select(F.col("relative_path").alias("rel_path"), F.col("file_hash").alias("hash"), X.language(F.col("relative_path")).alias("language"), F.col("text").alias("content"))
     store.replace("chunks", pipelines.chunked(rows, "all", 4000))
     return store.read("chunks").select("rel_path", "ordinal", "kind", F.size("functions").alias("functions"), F.size("imports").alias("imports"))
 
@@ -56,15 +56,23 @@ def _(t: Tables) -> DataFrame:
     return out.select("chunk_id", F.coalesce(F.nullif("code_language", F.lit("")), F.lit("unknown")).alias("language"), F.coalesce("content", F.lit("gone")).alias("content"))
 
 
-@query("S20_catalog", "select distinct entry_id, rel_path, alias from index_entries where entry_id is not null")
+@query("S20_catalog", "select entry_id, max(rel_path) as rel_path, 'renamed' as alias from index_entries where entry_id is not null group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.index_entries.where("entry_id is not null").select("entry_id", "rel_path", "alias").distinct()
+    store = Store(t.spark, shared_folder(t.spark, "store"))
+    rows = t.index_entries.where("entry_id is not null").groupBy("entry_id").agg(F.max("rel_path").alias("rel_path"), F.max("alias").alias("alias"))
+    store.replace("catalog", rows)
+    store.upsert("catalog", rows.withColumn("alias", F.lit("renamed")), "entry_id")
+    return store.read("catalog")
 
 
-@query("S23_flat_index", f"select label, vec_id from (select label, vec_id, row_number() over (partition by label order by list_dot_product(embedding::double[], {_V}) desc, vec_id) as n from embeddings) where n <= 2")
+@query("S23_flat_index", f"select vec_id::varchar as chunk_id, round(list_dot_product(embedding::double[], {_V}), 6) as dot from embeddings order by list_dot_product(embedding::double[], {_V}) desc, vec_id::varchar limit 20")
 def _(t: Tables) -> DataFrame:
-    scored = t.embeddings.withColumn("dot", V.dot(F.col("embedding"), V.literal(VECTOR)))
-    return R.top_k_per(scored, "label", "dot", 2, "vec_id").select("label", "vec_id")
+    # an index is created, saved, added to and loaded again before it is searched
+    store, empty = Store(t.spark, shared_folder(t.spark, "store")), F.lit(None).cast("string")
+    rows = t.embeddings.select(F.col("label").cast("string").alias("repo_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", empty.alias("provider"), empty.alias("text_sha"))
+    store.replace("vectors", rows.where(F.col("chunk_id").endswith("0")))
+    store.append("vectors", rows.where(~F.col("chunk_id").endswith("0")))
+    return R.dot_search(store.read("vectors"), "embedding", VECTOR, 20, -1.0, "chunk_id").select("chunk_id", F.round("dot", 6).alias("dot"))
 
 
 @query("S25_sliced_store", "select floor((row_number() over (order by vec_id) - 1) / 1000)::int as slice, vec_id from (select distinct vec_id from embedded_chunks where vec_id is not null)")
@@ -93,12 +101,42 @@ def _(t: Tables) -> DataFrame:
     return t.spark.range(1000).select("id", ((F.col("id") * 1664525 + 1013904223) % 4294967296).alias("value"))
 
 
-@query("F31_prompt_context", "select string_agg('## ' || rank || '. ' || source || ' (1-1)' || chr(10) || '```' || coalesce(lang, '') || chr(10) || text || chr(10) || '```' || chr(10), '' order by rank) as prompt from (select *, row_number() over (order by n_chars, doc_id) as rank from documents where n_chars > 100 qualify rank <= 5)")
+#: The eight chunks of one provider and model that are nearest to the vector of the smallest id.
+_RETRIEVED = """with v as (select chunk_id, max(embedding)::double[] as e from embedded_chunks where len(embedding) = 64 and provider = 'hashvec' and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0)) group by 1),
+q as (select e from v order by chunk_id limit 1), c as (select chunk_id, max(relative_path) as path, max(start_line) as a, max(end_line) as b, max(content) as text from chunks where content is not null group by 1),
+h as (select c.*, round(list_cosine_similarity(v.e, q.e), 9) as score from v, q, c where c.chunk_id = v.chunk_id),
+k as (select *, row_number() over (order by score desc, chunk_id) as rank from h qualify rank <= 8)
+"""
+
+
+def _retrieved(t: Tables) -> DataFrame:
+    e = t.embedded_chunks.where((F.size("embedding") == 64) & (F.col("provider") == "hashvec") & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0))
+    v = e.groupBy("chunk_id").agg(F.max("embedding").alias("embedding"))
+    question = v.orderBy("chunk_id").limit(1).first()
+    c = t.chunks.where("content is not null").groupBy("chunk_id").agg(F.max("relative_path").alias("path"), F.max("start_line").alias("a"), F.max("end_line").alias("b"), F.max("content").alias("text"))
+    if question is None:
+        return c.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+    scored = C.only(v, c, "chunk_id").withColumn("score", F.round(V.cosine(F.col("embedding"), V.literal([float(x) for x in question["embedding"]])), 9))
+    best = R.top_k(scored, "score", 8, "chunk_id").select("chunk_id", "score")
+    return c.join(F.broadcast(best), "chunk_id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # eight rows
+
+
+_BLOCK = "'## ' || rank || '. ' || path || ' (' || a || '-' || b || ')' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10)"
+
+
+def _block() -> F.Column:
+    return R.context_block(F.col("rank"), F.col("path"), F.concat_ws("-", "a", "b"), F.lit(""), F.col("text"))
+
+
+@query("R11_chat_retrieval", _RETRIEVED + f"select rank, chunk_id, {_BLOCK} as block from k")
 def _(t: Tables) -> DataFrame:
-    best = t.documents.where("n_chars > 100").orderBy("n_chars", "doc_id").limit(5)
-    rows = best.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "doc_id")))  # five rows
-    block = F.struct("rank", R.context_block(F.col("rank"), F.col("source"), F.lit("1-1"), F.col("lang"), F.col("text")).alias("b"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "").alias("prompt"))
+    return _retrieved(t).select("rank", "chunk_id", _block().alias("block"))
+
+
+@query("F31_prompt_context", _RETRIEVED + f"select string_agg({_BLOCK}, '' order by rank) as prompt from k")
+def _(t: Tables) -> DataFrame:
+    blocks = F.struct("rank", _block().alias("b"))
+    return _retrieved(t).agg(F.array_join(F.transform(F.array_sort(F.collect_list(blocks)), lambda x: x["b"]), "").alias("prompt"))  # eight rows
 
 
 @query("F42_source_slice", "select chunk_id, substr(content, 11, 30) as part, length(substr(content, 1, 10)) - length(replace(substr(content, 1, 10), chr(10), '')) + start_line as line from chunks where length(content) > 40")
@@ -136,9 +174,12 @@ def _(t: Tables) -> DataFrame:
     return L.relationships(t.spark.createDataFrame([("1", _FLOW, "xml")], "k string, c string, l string"), "k", "c", "l").select("type", "source", "target")
 
 
-@query("K19_parse_cache", "select file_hash, count(distinct chunk_id) as chunks, count(*) > count(distinct chunk_id) as repeated from chunks group by 1")
+@query("K19_parse_cache", r"select chunk_id, len(regexp_extract_all(content, '(?m)^\s*import\s+([^\s#]+)(?:\s+as\s+(\w+))?')) + len(regexp_extract_all(content, '(?m)^\s*from\s+([^\s#]+)\s+import\s+([^#\n]+)')) as imports from chunks where content is not null and ends_with(relative_path, '.py')")
 def _(t: Tables) -> DataFrame:
-    return t.chunks.groupBy("file_hash").agg(F.countDistinct("chunk_id").alias("chunks"), (F.count("*") > F.countDistinct("chunk_id")).alias("repeated"))
+    # each different text is parsed once, however often it stands; what was parsed before would be read instead
+    rows = t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".py")).select("chunk_id", "content", F.sha2("content", 256).alias("key"))
+    parsed = rows.groupBy("key").agg(F.max("content").alias("content")).select("key", F.size(N.symbols(F.col("content"), "python", "imports")).alias("imports"))
+    return rows.select("chunk_id", "key").join(parsed, "key").select("chunk_id", "imports")
 
 
 @query("T11_chunk_stream", "select doc_id, i as chunk_no, length(substr(text, 3400 * i + 1, 4000)) as size from (select doc_id, text, unnest(range(0, 1 + greatest(0, ceil((length(text) - 4000) / 3400))::int)) as i from documents where length(text) > 0)")
@@ -176,10 +217,17 @@ def _(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").groupBy(X.mapped(_RECOVERY, X.error_class(F.col("text"))).alias("strategy")).agg(F.count("*").alias("n"))
 
 
-@query("M05_validate", "select count(*) filter (n > 1) as repeated, count(*) filter (c is null) as without_text, count(*) as chunks from (select chunk_id, count(*) as n, max(content) as c from chunks group by 1)")
+_GOOD = "with p as (select chunk_id, count(*) as n, max(content) as c from chunks group by 1), g as (select chunk_id from p where c is not null), v as (select * from embedded_chunks where chunk_id is not null) "
+
+
+@query("M05_validate", _GOOD + "select (select count(*) from p where n > 1) as repeated, (select count(*) from p where c is null) as without_text, (select count(*) from v where chunk_id not in (select chunk_id from g)) as orphans, (select count(*) from g where chunk_id not in (select chunk_id from v)) as missing")
+def _(t: Tables) -> DataFrame:
+    return pipelines.repaired(t.chunks, t.embedded_chunks.where("chunk_id is not null"))[2]
+
+
+@query("M05_repair", _GOOD + "select chunk_id, vec_id from v where chunk_id in (select chunk_id from g)")
 def _(t: Tables) -> DataFrame:
-    per = t.chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("content").alias("c"))
-    return per.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("c").isNull()).alias("without_text"), F.count("*").alias("chunks"))
+    return pipelines.repaired(t.chunks, t.embedded_chunks.where("chunk_id is not null"))[1].select("chunk_id", "vec_id")
 
 
 @query("M08_provider_benchmark", "select event_type, round(avg(value), 6) as latency, count(*) as requests, round(count(*) filter (value < 60) / count(*), 6) as reliability, round(coalesce(corr(value, event_id), 0), 6) as scalability from events group by 1")
@@ -189,9 +237,9 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("M11_fallback_used", "select event_type, case when avg(value) > 35 then 'second' else 'first' end as provider from events group by 1")
+@query("M11_fallback_used", "select chunk_id as key, case when content is not null and length(content) <= 32768 then 'hash' end as provider from chunks")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.when(F.avg("value") > 35, "second").otherwise("first").alias("provider"))
+    return E.embedded(t.chunks, "chunk_id", "content", lambda: [E.Unavailable(), E.HashEmbedder()]).select("key", "provider")
 
 
 @query("M12_reindex_marks", "select model_version, bool_or(len(embedding) is distinct from 64) as needs from embedded_chunks group by 1")

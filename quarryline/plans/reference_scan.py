@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import changes as C
 from quarryline.operators import chunkers as K
+from quarryline.operators import embedding as E
 from quarryline.plans.registry import Registry, Tables
 from quarryline.sources import files as S
+from quarryline.sources.store import Store
+from quarryline.sources.tables import shared_folder
 
 query = Registry()
 ENDING = r"lower(regexp_extract({0}, '(\.[^./]*)$', 1))"
@@ -73,11 +76,16 @@ def _(t: Tables) -> DataFrame:
     return t.files.select("file_id", X.mime_type(F.col("relative_path")).alias("mime"))
 
 
-@query("S12_sources", "select distinct primary_language as set_name, repository_path as path from repositories where repository_path not like '%forge%' union select 'extra', '/srv/extra'")
+@query("S12_sources", "select distinct primary_language as set_name, repository_path as path from repositories where repository_path not like '%forge%' and primary_language <> 'java' union select 'extra', '/srv/extra'")
 def _(t: Tables) -> DataFrame:
+    store = Store(t.spark, shared_folder(t.spark, "store"))
     sets = t.repositories.select(F.col("primary_language").alias("set_name"), F.col("repository_path").alias("path"))
-    added = t.spark.createDataFrame([("extra", "/srv/extra")], "set_name string, path string")
-    return sets.where(~F.col("path").contains("forge")).unionByName(added).distinct()
+    store.replace("sources", sets.distinct())
+    store.remove_sources(sets.where(F.col("path").contains("forge")))
+    store.add_source("extra", "/srv/extra")
+    store.add_source("extra", "/srv/extra")
+    store.drop_set("java")
+    return store.read("sources")
 
 
 @query("S13_repo_identity", "select repo_id, sha256(alias || '∣' || repository_path) as identity from repositories")
@@ -109,10 +117,13 @@ def _(t: Tables) -> DataFrame:
     return t.files.select("repo_id").distinct()
 
 
-@query("S31_embedding_cache", "select sha256(text) as key, substr(sha256(text), 1, 2) as shard, min(doc_id) as first_doc, count(*) as uses from documents where text is not null group by all")
+@query("S31_embedding_cache", "select sha256(text) as key, 'hash' as model, 64 as dims from documents where text is not null and length(text) <= 32768 group by text")
 def _(t: Tables) -> DataFrame:
-    key = F.sha2("text", 256)
-    return t.documents.where("text is not null").groupBy(key.alias("key"), F.substring(key, 1, 2).alias("shard")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses"))
+    store, texts = Store(t.spark, shared_folder(t.spark, "store")), t.documents.select("doc_id", "text")
+    for _ in range(2):  # the second time all texts are found, so nothing is added
+        gained = E.with_cache(texts, "doc_id", "text", store.read("embed_cache"), lambda: [E.HashEmbedder()], "hash")[1]
+        store.append("embed_cache", gained)
+    return store.read("embed_cache").select(F.col("text_sha").alias("key"), "model", F.size("embedding").alias("dims"))
 
 
 @query("S32_encrypted_round_trip", "select doc_id, text from documents where text is not null")
@@ -274,7 +285,16 @@ def _(t: Tables) -> DataFrame:
     return t.chunks.where("content is not null").select("chunk_id", X.function_count(F.col("content"), X.display_language(F.col("relative_path"))).alias("functions"), X.class_count(F.col("content")).alias("classes"))
 
 
-@query("F24_file_score")
+_NEST = "list_transform(string_split(content, chr(10)), lambda x: len(regexp_extract_all(x, '[{(]')) - len(regexp_extract_all(x, '[})]')))"
+_FUNCS = f"len(regexp_extract_all(content, case when {_LANG} = 'Python' then '\\bdef\\s+\\w+' else '\\b(?:function\\s+\\w+|const\\s+\\w+\\s*=\\s*\\(|\\w+\\s*\\(.*\\)\\s*=>)' end))"
+#: (chunk_id, cyclomatic, depth, functions, classes, loc, score) of every chunk with text.
+COMPLEXITY = f"""with b as (select *, {_NEST} as b from chunks where content is not null),
+m as (select chunk_id, {_CYCLO} as cyclomatic, {_DEPTH} as depth, {_FUNCS} as functions, len(regexp_extract_all(content, '\\bclass\\s+\\w+')) as classes, {_LOC.replace(chr(123) + '0' + chr(125), _STRICT)} as loc from b),
+s as (select *, least(10, greatest(1, floor(least(cyclomatic / 10, 10) * 0.3::double + least(depth / 5, 10) * 0.2::double + least(functions / 20, 10) * 0.2::double + least(classes / 10, 10) * 0.1::double + least(loc / 500, 10) * 0.2::double + 0.5)))::int as score from m)
+"""
+
+
+@query("F24_file_score", COMPLEXITY + "select chunk_id, score from s")
 def _(t: Tables) -> DataFrame:
     c, lang = F.col("content"), X.display_language(F.col("relative_path"))
     return t.chunks.where("content is not null").select("chunk_id", X.file_score(X.cyclomatic(c, lang), X.nesting_depth(c), X.function_count(c, lang), X.class_count(c), X.strict_code_lines(c)).alias("score"))
@@ -311,18 +331,29 @@ def _(t: Tables) -> DataFrame:
     return t.repositories.select("repo_id", F.floor((F.lit(1756684800000) - ms) / 86400000).alias("days"), ms.alias("ms"))
 
 
+#: (file_id, file_hash, text) of every version of a file all of whose chunks have text.
+WHOLE = """with l as (select distinct file_id, file_hash, start_line + i as line, string_split(content, chr(10))[i + 1] as x from (select *, unnest(range(0, len(string_split(content, chr(10))))) as i from chunks where content is not null)),
+lost as (select distinct file_id, file_hash from chunks where content is null),
+f as (select file_id, file_hash, string_agg(x, chr(10) order by line) as text from l where not exists (select 1 from lost where lost.file_id = l.file_id and lost.file_hash = l.file_hash) group by 1, 2)
+"""
+
+
+@query("S08_whole_texts", WHOLE + "select file_id, file_hash, sha256(text) as digest from f")
+def _(t: Tables) -> DataFrame:
+    return K.whole_texts(t.chunks, "file_id", "file_hash").select("file_id", "file_hash", F.sha2("text", 256).alias("digest"))
+
+
 @query(
     "F45_line_diff",
-    """with f as (select file_id, file_hash, relative_path, start_line, content from chunks where content is not null and ordinal = 0 qualify row_number() over (partition by file_id, file_hash order by chunk_id) = 1),
-p as (select a.file_id, string_split(a.content, chr(10)) as o, string_split(b.content, chr(10)) as n from f a join f b on a.file_id = b.file_id and a.file_hash < b.file_hash)
+    WHOLE
+    + """, p as (select a.file_id, string_split(a.text, chr(10)) as o, string_split(b.text, chr(10)) as n from f a join f b on a.file_id = b.file_id and a.file_hash < b.file_hash)
 select file_id, len(list_filter(range(1, greatest(len(o), len(n)) + 1), lambda i: i > len(o))) as added, len(list_filter(range(1, greatest(len(o), len(n)) + 1), lambda i: i > len(n))) as removed,
   len(list_filter(range(1, least(len(o), len(n)) + 1), lambda i: o[i] <> n[i])) as modified from p""",
 )
 def _(t: Tables) -> DataFrame:
-    first = t.chunks.where("content is not null and ordinal = 0").groupBy("file_id", "file_hash").agg(F.min_by("content", "chunk_id").alias("content"))
-    new = first.select("file_id", F.col("file_hash").alias("h2"), F.col("content").alias("c2"))
-    pairs = first.join(new, "file_id").where(F.col("file_hash") < F.col("h2"))
-    return pairs.select("file_id", X.line_changes(F.col("content"), F.col("c2")).alias("d")).select("file_id", "d.*")
+    whole = K.whole_texts(t.chunks, "file_id", "file_hash")
+    pairs = whole.join(whole.select("file_id", F.col("file_hash").alias("h2"), F.col("text").alias("t2")), "file_id").where(F.col("file_hash") < F.col("h2"))
+    return pairs.select("file_id", X.line_changes(F.col("text"), F.col("t2")).alias("d")).select("file_id", "d.*")
 
 
 @query("W09_line_numbers", "select doc_id, length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) + 1 as line from documents where text is not null")

@@ -133,7 +133,7 @@ def _(t: Tables) -> DataFrame:
     return t.files.groupBy("repo_id").agg(F.round(F.try_divide(F.count_if(significant(F.col("relative_path"))), F.count("*")), 6).alias("ratio"))
 
 
-_RULES = ", ".join(f"('{t}', '{n.lower()}')" for t, names in P.FILE_TECHNOLOGIES.items() for n in names.split())
+_RULES = ", ".join(f"('{t}', '{n.lower()}')" for t, names in P.FILE_TECHNOLOGIES.items() for n in names)
 _ENDS = ", ".join(f"('{t}', '{e}')" for e, t in P.ENDING_TECHNOLOGIES.items())
 _TECH = f"""with r(technology, part) as (values {_RULES}), x(technology, ending) as (values {_ENDS}),
 h as (select repo_id, technology, 'file-pattern' as source, 0.8 as confidence from files join r on contains(lower(relative_path), part)
@@ -157,7 +157,17 @@ def _(t: Tables) -> DataFrame:
     return out.groupBy(P.category(F.col("technology")).alias("category")).agg(F.countDistinct("technology").alias("technologies"))
 
 
-_CONTENT = ", ".join(f"case when regexp_matches(content, '(?i){_quoted(p)}') then '{t}' end" for t, p in P.CONTENT_TECHNOLOGIES.items())
+_CONTENT = ", ".join(f"case when regexp_matches(content, '{'' if p in P.CASED else '(?i)'}{_quoted(p)}') then '{t}' end" for t, patterns in P.CONTENT_TECHNOLOGIES.items() for p in patterns)
+
+
+#: Written out, so that a pattern missing above is seen.
+_TEN = ("react", r"(?i)import.*react|(?i)from [''\"]react[''\"]|React\.|(?i)jsx"), ("material-ui", "(?i)@mui|@material-ui"), ("gcp", r"(?i)google-cloud|from google\.cloud"), ("zustand", r"(?i)zustand|create\("), ("mobx", "(?i)mobx|@observable|@action"), ("msgflow", r"(?i)<\?xml|<MessageFlow|<ComputeNode|<FilterNode|<MQInput"), ("mulesoft", r"(?i)<mule|xmlns:mule|<flow\s+name|<http:listener|<db:select"), ("dataweave", r"(?i)output\s+application/json|input\s+payload|%dw\s+2\.0|mapObject|---"), ("flutter", r"(?i)import\s+''package:flutter|extends\s+StatelessWidget|extends\s+StatefulWidget|MaterialApp"), ("cloudformation", r"(?i:AWSTemplateFormatVersion|Resources:|Type:\s+AWS::)|!Ref\s")
+
+
+@query("F37_repositories_by_content", "select technology, count(*) as repositories from (select distinct repo_id, technology from (select repo_id, unnest([" + ", ".join(f"case when regexp_matches(content, '{p}') then '{t}' end" for t, p in _TEN) + "]) as technology from chunks where content is not null) where technology is not null) group by 1")
+def _(t: Tables) -> DataFrame:
+    found = P.content_technologies(t.chunks.where("content is not null"), "repo_id", "content")
+    return found.where(F.col("technology").isin(*[k for k, _ in _TEN])).groupBy("technology").agg(F.count("*").alias("repositories"))
 
 
 @query("F37_content_technologies", f"select repo_id, technology, count(*) as detections from (select repo_id, unnest(list_filter([{_CONTENT}], lambda x: x is not null)) as technology from chunks where content is not null) group by all")
@@ -429,7 +439,14 @@ def _(t: Tables) -> DataFrame:
     return W.watched(t.spark, f"{root}/table", rows.drop("action").schema).read().select("user_id", "state", "event_id")
 
 
-@query("T13_adaptive_batch")
+@query(
+    "T13_adaptive_batch",
+    """with recursive e as (select event_type as key, value, row_number() over (partition by event_type order by event_id) as n from events where value is not null and event_type is not null),
+s(key, n, size, quick) as (select key, 0::bigint, 50, 0 from (select distinct key from e) union all
+  select s.key, e.n, case when value > 35.0::double * (1 + 0.1::double) then greatest(10, floor(size * 0.8::double)::int) when value < 35.0::double * (1 - 0.1::double) and quick >= 1 then least(200, floor(size * 1.2::double)::int) else size end,
+    case when value < 35.0::double * (1 - 0.1::double) and not value > 35.0::double * (1 + 0.1::double) and quick < 1 then quick + 1 else 0 end from s join e on e.key = s.key and e.n = s.n + 1)
+select key, n::int as answers, size from s qualify row_number() over (partition by key order by n desc) = 1""",
+)
 def _(t: Tables) -> DataFrame:
     return W.adaptive_sizes(t.events, "event_type", "event_id", "value", target=35.0)
 

@@ -16,6 +16,8 @@ SCHEMAS = {
     "chunks": f"repo_id string, chunk_id string, rel_path string, file_hash string, ordinal int, start_line int, end_line int, size int, language string, kind string, content string, imports {SYMBOLS}, functions {SYMBOLS}, classes {SYMBOLS}, comments {SYMBOLS}, docstrings {SYMBOLS}",
     "vectors": "repo_id string, chunk_id string, embedding array<float>, provider string, text_sha string",
     "embed_cache": "model string, text_sha string, embedding array<float>",
+    "sources": "set_name string, path string",
+    "catalog": "entry_id string, rel_path string, alias string",
     "repositories": "repo_id string, alias string, path string, provider string, dimensions int, files bigint, chunks bigint, indexed_at timestamp",
 }
 
@@ -83,6 +85,17 @@ class Store:
         for name in SCHEMAS:
             self.table(name).vacuum(keep)
 
+    def add_source(self, set_name: str, path: str) -> None:
+        """Put a path into a named set of sources; one that is there already stays once."""
+        self.upsert("sources", self.spark.createDataFrame([(set_name, path)], SCHEMAS["sources"]), "set_name", "path")
+
+    def remove_sources(self, gone: DataFrame) -> None:
+        """Take (set_name, path) pairs out of their sets."""
+        self.remove("sources", gone, "set_name", "path")
+
+    def drop_set(self, set_name: str) -> None:
+        self.replace("sources", self.read("sources").where(F.col("set_name") != set_name))
+
     def repositories(self) -> DataFrame:
         return self.read("repositories").select("repo_id", "alias").distinct()
 
