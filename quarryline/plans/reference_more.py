@@ -18,7 +18,7 @@ from quarryline.operators import scripts as J
 from quarryline.operators import summary as P
 from quarryline.plans import pipelines
 from quarryline.plans.reference_scan import _LANG, _LOC, COMPLEXITY, ENDING, _map
-from quarryline.plans.reference_stats import _ENDS, _RULES
+from quarryline.plans.reference_stats import _TECH_ENDS, _TECH_RULES
 from quarryline.plans.registry import Registry, Tables
 from quarryline.sources.store import Store
 from quarryline.sources.tables import shared_folder
@@ -408,7 +408,7 @@ _SUMMARY = f"""with r as (select repo_id, relative_path, {_LANG} as language, {_
 per as (select repo_id, language, sum(loc) as loc from r group by all),
 prim as (select repo_id, coalesce(max(language) filter (n = 1 and loc > 0), 'Unknown') as language from (select *, row_number() over (partition by repo_id order by loc desc, language) as n from per) group by 1),
 tot as (select repo_id, count(*) as files, sum(loc) as loc, bool_or(contains(relative_path, 'test') or contains(relative_path, 'spec')) as tests, bool_or(contains(lower(relative_path), 'readme') or contains(relative_path, 'doc')) as docs from r group by 1),
-rules(technology, part) as (values {_RULES}), ends(technology, ending) as (values {_ENDS}),
+rules(technology, part) as (values {_TECH_RULES}), ends(technology, ending) as (values {_TECH_ENDS}),
 tech as (select repo_id, list_sort(list(distinct technology)) as t from (select repo_id, technology from r join rules on contains(lower(relative_path), part) union all select repo_id, technology from r join ends using (ending)) group by 1)
 select repo_id, concat_ws(' ', 'This is a ' || language || ' project with ' || files || ' files and approximately ' || loc || ' lines of code.',
   case when len(t) > 3 then 'The project uses ' || array_to_string(t[1:3], ', ') || ' and ' || (len(t) - 3) || ' other technologies.' when len(t) > 0 then 'The project uses ' || array_to_string(t, ', ') || '.' end,

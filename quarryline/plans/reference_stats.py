@@ -133,9 +133,9 @@ def _(t: Tables) -> DataFrame:
     return t.files.groupBy("repo_id").agg(F.round(F.try_divide(F.count_if(significant(F.col("relative_path"))), F.count("*")), 6).alias("ratio"))
 
 
-_RULES = ", ".join(f"('{t}', '{n.lower()}')" for t, names in P.FILE_TECHNOLOGIES.items() for n in names)
-_ENDS = ", ".join(f"('{t}', '{e}')" for e, t in P.ENDING_TECHNOLOGIES.items())
-_TECH = f"""with r(technology, part) as (values {_RULES}), x(technology, ending) as (values {_ENDS}),
+_TECH_RULES = ", ".join(f"('{t}', '{n.lower()}')" for t, names in P.FILE_TECHNOLOGIES.items() for n in names)
+_TECH_ENDS = ", ".join(f"('{t}', '{e}')" for e, t in P.ENDING_TECHNOLOGIES.items())
+_TECH = f"""with r(technology, part) as (values {_TECH_RULES}), x(technology, ending) as (values {_TECH_ENDS}),
 h as (select repo_id, technology, 'file-pattern' as source, 0.8 as confidence from files join r on contains(lower(relative_path), part)
   union all select repo_id, technology, 'extension', 0.6 from files join x on lower(extension) = ending),
 g as (select repo_id, technology, max(confidence)::double as confidence, count(*) as detections, array_to_string(list_sort(list(distinct source)), ',') as sources from h group by all)
