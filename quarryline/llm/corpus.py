@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.lexers import LANGUAGES
+from quarryline.functions.lexers import LANGUAGES
 
 #: Columns of what current_chunks returns, in order, as the Python side reads them.
 COLUMNS = ["file_id", "repo_id", "relative_path", "size", "language", "starts", "ends", "texts"]

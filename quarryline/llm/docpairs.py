@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from quarryline.llm.corpus import current_chunks, map_texts
 from quarryline.llm.grammar import analyse
-from quarryline.llm.lexers import Lexed
+from quarryline.functions.lexers import Lexed
 
 #: Words before a declared name, articles, and openings of remarks that a description is still to be written.
 JS_MODIFIERS = frozenset("export default async declare static public private protected readonly override abstract get set accessor".split())

@@ -6,7 +6,7 @@ import ast
 import json
 import warnings
 
-from quarryline.llm.lexers import Lexed, json_error, lex_braces, lex_python
+from quarryline.functions.lexers import Lexed, json_error, lex_braces, lex_python
 
 #: Names that may stand directly before another name on a line, and those that may stand directly after one.
 _JS_BEFORE = frozenset("async get set static of let from as await yield accessor using".split())

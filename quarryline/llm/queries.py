@@ -19,6 +19,14 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p1_pieces(spark, base).where("piece = 0 and chunk_id is not null").select("chunk_id").distinct()
 
 
+def p1_rebuilt(spark: SparkSession, base: str) -> DataFrame:
+    """(chunk_id, repo_id, digest, pieces): every split chunk put together from its pieces again, each beginning where the text before it ends."""
+    piece = F.struct("piece", "start_char", "content")
+    lists = p1_pieces(spark, base).where("chunk_id is not null").groupBy("chunk_id", "repo_id").agg(F.sort_array(F.collect_set(piece)).alias("p"))
+    text = F.aggregate("p", F.lit(""), lambda a, p: F.concat(a, F.substr(p["content"], F.length(a) - p["start_char"] + 1)))
+    return lists.select("chunk_id", "repo_id", F.sha2(text, 256).alias("digest"))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return similar_pairs(table(spark, base, "embedded_chunks"))
 
@@ -35,6 +43,12 @@ def p8_placements(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_containers(table(spark, base, "documents"))
 
 
+def p8_whole(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, placed): how often each document is placed; all of its pieces together count once."""
+    placed = p8_placements(spark, base).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("pieces"), F.max("piece").alias("last"))
+    return placed.select("doc_id", F.when((F.col("n") == F.col("pieces")) & (F.col("last") + 1 == F.col("pieces")), 1).otherwise(F.col("n")).alias("placed"))
+
+
 def p2_states(spark: SparkSession, base: str) -> DataFrame:
     return parsing.parse_states(table(spark, base, "files"), table(spark, base, "chunks"))
 
@@ -84,7 +98,7 @@ def p9_composition(spark: SparkSession, base: str) -> DataFrame:
     return subjects.composition(p9_subjects(spark, base))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_topk": p5_topk, "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_composition": p9_composition, "p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt, "p5_found": p5_found, "p5_topk": p5_topk, "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_composition": p9_composition, "p3_found": p3_found, "p3_files": p3_files, "p4_found": p4_found, "p4_masked": p4_masked, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_placements": p8_placements, "p8_whole": p8_whole}
 
 _VECTORS = """
 with v as (
@@ -107,6 +121,14 @@ d as (select s from latest where repo_id = 0)
 select distinct chunk_id from chunks c left join latest l using (repo_id)
 where length(content) > case when l.s > 0 then l.s else (select s from d) end
 """,
+    "p1_rebuilt": """
+with latest as (
+  select repo_id, arg_max(coalesce(chunk_size, -1), (updated_at, coalesce(chunk_size, -1))) as s from performance_config group by repo_id),
+d as (select s from latest where repo_id = 0)
+select distinct chunk_id, c.repo_id, sha256(content) as digest from chunks c left join latest l on l.repo_id = c.repo_id
+where length(content) > case when l.s > 0 then l.s else (select s from d) end
+""",
+    "p8_whole": "select doc_id, count(*) as placed from documents group by 1",
     "p5_topk": _VECTORS + "select provider, model_version, vec_id, hit_no, neighbour, round(score, 6) as score from h",
     "p5_found": _VECTORS + "select distinct least(vec_id, neighbour) as vec_a, greatest(vec_id, neighbour) as vec_b from h where score >= 0.85",
 }

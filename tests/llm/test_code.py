@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from quarryline.llm import docpairs, origin, parsing
 from quarryline.llm.corpus import assemble, current_chunks
 from quarryline.llm.grammar import analyse, syntax_error
-from quarryline.llm.lexers import json_error
+from quarryline.functions.lexers import json_error
 
 FILES = "file_id long, repo_id int, relative_path string, hash string, size long, last_modified timestamp, language string, starts int"
 CHUNKS = "file_id long, repo_id int, relative_path string, chunk_id string, ordinal int, start_line int, end_line int, content string, file_hash string, language string"
