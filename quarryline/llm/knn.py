@@ -108,10 +108,10 @@ def compare(a: Heaps, b: Heaps | None) -> None:
     """Every pair of a row of a and a row of b (of two rows of a, if b is None), each product once, offered to both sides.
 
     With unit vectors u = q + r the cosine differs from the product of the codes by at most |r_a| + |r_b| + |r_a||r_b|.
-    int8 products are summed exactly in float32 (64 * 127 * 127 < 2**24). Pairs whose upper bound reaches what one of
+    int8 products are summed exactly in float32 for 64 dimensions (64 * 127 * 127 < 2**24); for more the slack grows. Pairs whose upper bound reaches what one of
     the two rows needs are computed again in double precision.
     """
-    other = b or a
+    other, rounding = b or a, 1e-5 * max(1.0, a.x.shape[1] / 64)
     for left in range(0, len(a.x), TILE_ROWS):
         rows = slice(left, min(left + TILE_ROWS, len(a.x)))
         for right in range(left if b is None else 0, len(other.x), TILE_COLUMNS):
@@ -119,8 +119,8 @@ def compare(a: Heaps, b: Heaps | None) -> None:
             tile = a.codes[rows] @ other.codes[cols].T
             tile *= a.scale[rows, None]
             tile *= other.scale[cols]
-            slack_a = a.rest[rows] * (1 + float(other.rest[cols].max())) + float(other.rest[cols].max()) + 1e-5
-            slack_b = other.rest[cols] * (1 + float(a.rest[rows].max())) + float(a.rest[rows].max()) + 1e-5
+            slack_a = a.rest[rows] * (1 + float(other.rest[cols].max())) + float(other.rest[cols].max()) + rounding
+            slack_b = other.rest[cols] * (1 + float(a.rest[rows].max())) + float(a.rest[rows].max()) + rounding
             near = tile >= _need(a.least[rows], tile, a.k, slack_a)[:, None]
             near |= tile >= _need(other.least[cols], tile.T, a.k, slack_b)
             i, j = np.nonzero(near)
@@ -206,7 +206,8 @@ def nearest(vectors: DataFrame, k: int = 5, min_score: float = -1.0, dim: int =
     equal = narrow.withColumn("rn", F.row_number().over(by_id)).where(F.col("rn") <= k + 1).groupBy(*KEY).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     reps = equal.withColumn("vec_id", F.col("ids")[0]).join(usable.select(*GROUP, "vec_id", "embedding"), [*GROUP, "vec_id"])
     groups = _named(vectors).groupBy(*GROUP).agg(F.count("*").alias("n"))
-    parts = F.greatest(F.ceil(F.col("n") / LARGEST_PART), F.least(F.ceil(F.col("n") / PART), F.lit(SPREAD))).cast("int")
+    most = max(1, LARGEST_PART * 64 // max(64, dim))  # longer vectors, smaller parts: a task's memory stays
+    parts = F.greatest(F.ceil(F.col("n") / most), F.least(F.ceil(F.col("n") / PART), F.lit(SPREAD))).cast("int")
     groups = groups.select(*GROUP, parts.alias("g"))
     few = _named(vectors).select(*GROUP).distinct().count() <= BROADCAST_GROUPS
     split = reps.join(F.broadcast(groups) if few else groups, GROUP).withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("g")).cast("int"))
