@@ -235,6 +235,8 @@ class Script:
                 if member != "constructor":
                     self.add("method", member, at, kind, name, self.parameters(o), [f for f in flags if f in ("static", "async", "generator")])
                 j = (span[1] if span else self.x.match[o]) + 1
+                while not span and j < end and self.kind(j) != ";" and not self.x.fresh[j]:  # no body: past the type
+                    j += 1
                 continue
             self.add("property", member, at, "static" if "static" in flags else "instance", name)
             j += 1
