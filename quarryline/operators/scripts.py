@@ -180,6 +180,9 @@ class Script:
                 return
             first = self.x.match[j]
             parameters = self.parameters(first)
+            if self.at(first - 1) == ">":  # type parameters
+                while first > 0 and self.at(first) != "<":
+                    first -= 1
         flags = []
         if self.at(first - 1) == "async":
             first, flags = first - 1, ["async"]

@@ -18,11 +18,26 @@ from quarryline.sources.files import read_tree
 from quarryline.sources.store import Store
 
 
-def chunked(files: DataFrame, repo_id: str, target: int) -> DataFrame:
-    """Chunks of whole lines with ids, structure and kind; chunks over 2048 estimated tokens are left out."""
+#: Fixed value: a chunk of more estimated tokens is left out of the store.
+TOKEN_LIMIT = 2048
+
+
+def cut_lines(files: DataFrame, target: int) -> DataFrame:
+    """Chunks of whole lines of each file, large ones included."""
     rows = K.line_chunks(files.select("rel_path", F.col("hash").alias("file_hash"), "language", "content"), "content", target)
     rows = rows.select("rel_path", "file_hash", "language", F.col("chunk_no").alias("ordinal"), "start_line", "end_line", "size", F.col("chunk").alias("content"))
-    rows = rows.where(X.tokens_estimated(F.col("content")) <= 2048)
+    return rows
+
+
+def rejected(files: DataFrame, target: int) -> DataFrame:
+    """(rel_path, ordinal, start_line, end_line, tokens) of the chunks that `chunked` leaves out: single lines that are too long."""
+    tokens = X.tokens_estimated(F.col("content"))
+    return cut_lines(files, target).where(tokens > TOKEN_LIMIT).select("rel_path", "ordinal", "start_line", "end_line", tokens.alias("tokens"))
+
+
+def chunked(files: DataFrame, repo_id: str, target: int) -> DataFrame:
+    """Chunks of whole lines with ids, structure and kind; chunks over TOKEN_LIMIT estimated tokens are left out (see rejected)."""
+    rows = cut_lines(files, target).where(X.tokens_estimated(F.col("content")) <= TOKEN_LIMIT)
     rows = rows.withColumn("repo_id", F.lit(repo_id)).withColumn("chunk_id", X.chunk_id(F.lit(repo_id), F.col("rel_path"), F.col("ordinal"), F.col("file_hash")))
     return with_structure(rows)
 
@@ -61,7 +76,7 @@ def repaired(chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFram
 
 def index_repository(spark: SparkSession, root: str, store: Store, repo_id: str, config: Config | None = None, force: bool = False) -> dict[str, int]:
     """Bring the store in step with a directory tree: only added and modified files are chunked and embedded, deleted ones
-    leave. Returns counts of added, modified, deleted and unchanged files."""
+    leave. Returns counts of added, modified, deleted and unchanged files, and of the chunks left out as too long (see rejected)."""
     config = config or Config()
     current = read_tree(spark, root, config.exclude, config.max_file_size).withColumn("repo_id", F.lit(repo_id)).cache()
     stored = store.read("files", [repo_id])
@@ -83,9 +98,10 @@ def index_repository(spark: SparkSession, root: str, store: Store, repo_id: str,
     totals = current.agg(F.count("*").alias("files")).crossJoin(store.read("chunks", [repo_id]).agg(F.count("*").alias("chunks")))
     row = totals.select(F.lit(repo_id).alias("repo_id"), F.lit(repo_id).alias("alias"), F.lit(root).alias("path"), F.lit(provider).alias("provider"), F.lit(E.create(provider).dimensions).alias("dimensions"), "files", "chunks", F.current_timestamp().alias("indexed_at"))
     store.replace_repositories("repositories", row, [repo_id])
+    left_out = rejected(fresh, config.chunk_size).count()
     for df in (current, change, chunks, old):
         df.unpersist()
-    return {k: counts.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")}
+    return {k: counts.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")} | {"rejected": left_out}
 
 
 def search(store: Store, query: str, k: int = 8, repos: list[str] | None = None, provider: str = "hash") -> DataFrame:

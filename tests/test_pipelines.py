@@ -14,12 +14,13 @@ def test_index_search_and_update(spark, tmp_path):
     (src / "b.js").write_text("class Cart extends Base {\n}\nfunction total(items) {\n}\n")
     (src / "gone.md").write_text("# words about ovens\n")
     store = Store(spark, str(tmp_path / "store"))
-    assert index_repository(spark, str(src), store, "r1") == {"added": 3, "modified": 0, "deleted": 0, "unchanged": 0}
+    assert index_repository(spark, str(src), store, "r1") == {"added": 3, "modified": 0, "deleted": 0, "unchanged": 0, "rejected": 0}
     hit = search(store, "def load_rows(path):", 1).first()
     assert hit.rel_path == "a.py" and hit.function_name == "load_rows" and hit.lines == "1-5" and "function 'load_rows'" in hit.why
     (src / "gone.md").unlink()
     (src / "a.py").write_text("def other():\n    pass\n")
-    assert index_repository(spark, str(src), store, "r1") == {"added": 0, "modified": 1, "deleted": 1, "unchanged": 1}
+    (src / "long.js").write_text("x" * 9000)
+    assert index_repository(spark, str(src), store, "r1") == {"added": 1, "modified": 1, "deleted": 1, "unchanged": 1, "rejected": 1}
     assert {r.rel_path for r in store.read("chunks").collect()} == {"a.py", "b.js"}
     assert store.read("vectors").join(store.read("chunks"), "chunk_id").count() == store.read("chunks").count() == 2
     assert store.repositories().count() == 1 and store.mark_for_reindex("hash", 64).first().needs_reindex is False
