@@ -74,15 +74,16 @@ NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch", "return")
 KINDS = ("imports", "functions", "classes", "comments", "docstrings")
 
 
-def symbols(text: Column, language: str, kind: str) -> Column:
-    """array<struct(type, name)> of one kind, pattern after pattern, in the order of the text."""
+def symbols(text: Column, language: str, kind: str, patterns: dict | None = None) -> Column:
+    """array<struct(type, name)> of one kind, pattern after pattern, in the order of the text. `patterns` in the place of
+    PATTERNS bring further languages."""
     empty = F.array().cast("array<struct<type:string,name:string>>")
 
-
     def named(kind_: str, pattern: str, group: int) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda x: F.struct(F.lit(kind_).alias("type"), F.trim(x).alias("name")))
 
-    found = [named(*p) for p in PATTERNS.get(language, PATTERNS[""]).get(kind, [])]
+    table = patterns or PATTERNS
+    found = [named(*p) for p in table.get(language, table[""]).get(kind, [])]
     out = F.concat(*found) if found else empty
     if kind == "functions" and language in ("cpp", "java", "dart"):
         out = F.filter(out, lambda x: ~x["name"].isin(*NOT_FUNCTIONS))

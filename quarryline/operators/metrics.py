@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a key that one window task holds at most, and the ranges a table's order is cut into to number rows.
+BLOCK_ROWS, RANGES = 65_536, 200
+
+
 def rate(part: Column, whole: Column) -> Column:
     """100 * part / whole, 0 where whole is 0."""
     return F.coalesce(F.try_divide(part * F.lit(100.0), whole), F.lit(0.0))
@@ -18,21 +22,28 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.coalesce(F.try_element_at(values, F.least(place, F.size(values))), F.lit(0.0))
 
 
-def ranked_statistics(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """(by, n, one column for each share): the values at floor(share * n) of each group's order.
+def running_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _to, _n): for each different value of a group how many rows have it or a smaller one, and the group's rows.
 
-    Equal values are counted first (map-side), so what is sorted in a group is its different values with running counts,
-    not its rows. Null values do not count.
+    Equal values are counted first (map-side). The values are cut into RANGES by approximate quantiles, counts run within
+    (group, range), and a range begins where those before it end; so no task sees all values of a group. Nulls do not count.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = counted.withColumn("_to", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.sum("_c").over(Window.partitionBy(*by))
-    run = run.withColumn("_n", n)
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_key") if by else F.lit(1).alias("_key"), F.col(value).alias("_v"))
+    splits = sorted(set(rows.select(F.col("_v").cast("double").alias("x")).approxQuantile("x", [i / RANGES for i in range(1, RANGES)], 0.01)))
+    span = F.size(F.filter(F.array(*[F.lit(float(x)) for x in splits]), lambda s: s < F.col("_v").cast("double"))) if splits else F.lit(0)
+    counted = rows.groupBy("_key", "_v").agg(F.count("*").alias("_c")).withColumn("_range", span)
+    run = counted.withColumn("_own", F.sum("_c").over(Window.partitionBy("_key", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    per = Window.partitionBy("_key")
+    before = F.sum("_m").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counted.groupBy("_key", "_range").agg(F.sum("_c").alias("_m")).select("_key", "_range", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_m").over(per).alias("_n"))
+    both = run.join(starts, ["_key", "_range"])
+    return both.select(*[F.col("_key")[c].alias(c) for c in by], F.col("_v").alias(value), (F.col("_own") + F.col("_start")).alias("_to"), "_n")
+
+
+def ranked_statistics(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, one column for each share): the values at floor(share * n) of each group's order. Null values do not count."""
     place = lambda s: F.least(F.floor(F.col("_n") * F.lit(s)), F.col("_n") - 1)
-    return run.groupBy(*by).agg(
-        F.max("_n").alias("n"), *[F.min(F.when(F.col("_to") > place(s), F.col(value))).alias(k) for k, s in shares.items()]
-    )
+    return running_counts(df, by, value).groupBy(*by).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_to") > place(s), F.col(value))).alias(k) for k, s in shares.items()])
 
 
 def descriptive(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -49,10 +60,6 @@ def run_totals(df: DataFrame, by: list[str], value: str, ok: Column) -> DataFram
     )
 
 
-#: Rows of a key that one window task holds at most, and the ranges a table's order is cut into to number rows.
-BLOCK_ROWS, RANGES = 65_536, 200
-
-
 def positions(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Adds _range and _pos: the place (from 0) of each row in the order of its key, though no task sees all rows of a key.
 
@@ -125,12 +132,9 @@ def run_lengths(df: DataFrame, by: str, order: list[str], state: Column) -> Data
 
 
 def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, median): the mean of the two values in the middle; equal values are counted before they are sorted."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    run = counted.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    """(by, median): the mean of the two values in the middle."""
     at = lambda place: F.min(F.when(F.col("_to") > place, F.col(value)))
-    return run.groupBy(*by).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias("median"))
+    return running_counts(df, by, value).groupBy(*by).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias("median"))
 
 
 def sliding_counts(df: DataFrame, by: str, time: str, value: str, seconds: int = 60) -> DataFrame:

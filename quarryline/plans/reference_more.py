@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarryline.functions import text as X
 from quarryline.functions import vectors as V
+from quarryline.operators import analyzers as N
 from quarryline.operators import changes as C
 from quarryline.operators import chunkers as K
 from quarryline.operators import embedding as E
@@ -16,6 +17,7 @@ from quarryline.operators import relations as L
 from quarryline.operators import retrieval as R
 from quarryline.operators import scripts as J
 from quarryline.operators import summary as P
+from quarryline.operators import symbols as Y
 from quarryline.plans import pipelines
 from quarryline.plans.reference_scan import _LANG, _LOC, COMPLEXITY, ENDING, _map
 from quarryline.plans.reference_stats import _TECH_ENDS, _TECH_RULES
@@ -506,3 +508,69 @@ def _(t: Tables) -> DataFrame:
     before = store.read("chunks").select("chunk_id", F.lit(False).alias("_old"))
     pipelines.migrate(store, legacy, "all")
     return store.read("chunks").join(before, "chunk_id", "left").select("chunk_id", F.coalesce("_old", F.lit(True)).alias("migrated"), F.size("functions").alias("functions"))
+
+
+@query("S17_basic_sink", "select repo_id::varchar as repo_id, chunk_id, max(size) as size, max(sha256(content)) as digest from chunks where content is not null and repo_id is not null group by all")
+def _(t: Tables) -> DataFrame:
+    store, nothing = _store(t), F.array().cast("array<struct<type:string,name:string>>")
+    rows = t.chunks.where("content is not null and repo_id is not null").groupBy(F.col("repo_id").cast("string").alias("repo_id"), "chunk_id").agg(
+        *[F.max(c).alias(n) for c, n in (("relative_path", "rel_path"), ("file_hash", "file_hash"), ("ordinal", "ordinal"), ("start_line", "start_line"), ("end_line", "end_line"), ("size", "size"), ("content", "content"))]
+    )
+    store.replace("chunks", rows.withColumns({"language": F.lit(None).cast("string"), "kind": F.lit("code"), **{k: nothing for k in N.KINDS}}))
+    return store.read("chunks").select("repo_id", "chunk_id", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query("S28_metadata_manager", "select repo_id::varchar as repo_id, case when repo_id = 5 then 'five' else alias end as alias, len(list_filter([alias, repository_path], lambda x: x is not null)) as known from repositories where repo_id <> 9 union all select '1000', 'fresh', 1")
+def _(t: Tables) -> DataFrame:
+    store, none = _store(t), lambda kind: F.lit(None).cast(kind)
+    rest = {"provider": none("string"), "dimensions": none("int"), "files": none("bigint"), "chunks": none("bigint"), "indexed_at": none("timestamp")}
+    rows = t.repositories.select(F.col("repo_id").cast("string").alias("repo_id"), "alias", F.col("repository_path").alias("path")).withColumns(rest)
+    store.replace("repositories", rows)
+    store.replace_repositories("repositories", rows.where("repo_id = '5'").withColumn("alias", F.lit("five")), ["5"])
+    store.append("repositories", rows.where("repo_id = '1'").withColumns({"repo_id": F.lit("1000"), "alias": F.lit("fresh"), "path": none("string")}))
+    store.drop_repository("9")
+    store.vacuum(keep=1)
+    return store.read("repositories").select("repo_id", "alias", (F.col("alias").isNotNull().cast("int") + F.col("path").isNotNull().cast("int")).alias("known"))
+
+
+@query("X04_analyzer_plugin", r"select chunk_id, regexp_extract_all(content, '(?m)^([A-Za-z][A-Za-z0-9_.]*)[ \t]*=', 1) as keys from chunks where content is not null and ends_with(relative_path, '.properties')")
+def _(t: Tables) -> DataFrame:
+    # an analyzer of another language is a further entry of the patterns
+    plugin = {**N.PATTERNS, "properties": {"functions": [("key", r"(?m)^([A-Za-z][A-Za-z0-9_.]*)[ \t]*=", 1)]}}
+    rows = t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".properties"))
+    return rows.select("chunk_id", F.transform(N.symbols(F.col("content"), "properties", "functions", plugin), lambda x: x["name"]).alias("keys"))
+
+
+@query("Y51_provider_switch", "select repo_id::varchar as repo_id, repo_id % 3 <> 0 or repo_id % 2 <> 0 as needs_reindex from repositories")
+def _(t: Tables) -> DataFrame:
+    store, none = _store(t), lambda kind: F.lit(None).cast(kind)
+    i = F.col("repo_id")
+    rows = t.repositories.select(i.cast("string").alias("repo_id"), "alias", F.col("repository_path").alias("path"), F.when(i % 3 == 0, "hash").when(i % 3 == 1, "other").alias("provider"), F.when(i % 2 == 0, 64).otherwise(768).alias("dimensions"), none("bigint").alias("files"), none("bigint").alias("chunks"), none("timestamp").alias("indexed_at"))
+    store.replace("repositories", rows)
+    return store.mark_for_reindex("hash", 64)
+
+
+@query("Y17_repository_lifecycle", "select * from (values ('after replace', true, 2), ('after drop', true, 1), ('never written', false, 0)) v(step, present, repositories)")
+def _(t: Tables) -> DataFrame:
+    store = _store(t)
+    rows = _vectors(t).where("chunk_id is not null").limit(2)
+    both = rows.withColumn("repo_id", F.lit("a")).unionByName(rows.withColumn("repo_id", F.lit("b")))
+    count = lambda: store.read("vectors").select("repo_id").distinct().count()
+    never = ("never written", store.exists("files"), store.read("files").count())
+    store.replace("vectors", both)
+    first = ("after replace", store.exists("vectors"), count())
+    store.drop_repository("a")
+    return t.spark.createDataFrame([first, ("after drop", store.exists("vectors"), count()), never], "step string, present boolean, repositories int")
+
+
+@query("S42_workspace_symbols", "with e as (select distinct entry_id, rel_path, function_name, class_name from index_entries where entry_id is not null) select coalesce(nullif(function_name, ''), nullif(class_name, '')) as name, case when nullif(function_name, '') is not null then 12 else 5 end as kind, 'file:///w/' || replace(rel_path, chr(92), '/') as uri from (select * from e order by length(rel_path) desc, rel_path, entry_id limit 50) where coalesce(nullif(function_name, ''), nullif(class_name, '')) is not null")
+def _(t: Tables) -> DataFrame:
+    e = t.index_entries.where("entry_id is not null").select("entry_id", "rel_path", "function_name", "class_name").distinct()
+    results = e.select(F.length("rel_path").cast("double").alias("score"), "rel_path", F.col("entry_id").alias("lines"), "function_name", "class_name")
+    return Y.workspace_symbols(results, "/w").select("name", "kind", "uri")
+
+
+@query("S42_definitions", "select 'file:///w/' || replace(relative_path, chr(92), '/') as uri, greatest(start_line - 1, 0) as start_line, greatest(end_line - 1, 0) as end_line, count(*) as n from chunks where relative_path is not null and start_line is not null and end_line is not null group by all")
+def _(t: Tables) -> DataFrame:
+    results = t.chunks.where("start_line is not null and end_line is not null").select(F.col("relative_path").alias("rel_path"), F.concat_ws("-", "start_line", "end_line").alias("lines"))
+    return Y.locations(results, "/w").groupBy("uri", "start_line", "end_line").agg(F.count("*").alias("n"))

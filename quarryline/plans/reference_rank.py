@@ -280,7 +280,32 @@ def _each_language(t: Tables, one) -> DataFrame:
     return out
 
 
-@query("K01_structure_kind")
+_ENDINGS = {"javascript": "js|jsx", "typescript": "ts|tsx", "python": "py", "java": "java", "yaml": "yml|yaml"}
+
+
+def _some(language: str, kind: str) -> str:
+    """How many symbols of a kind a text has."""
+    each = []
+    for _, pattern, group in N.PATTERNS[language].get(kind, []):
+        found = f"regexp_extract_all(content, '{pattern.replace(chr(39), chr(39) * 2).replace('.*$', '[^' + chr(92) + 'r' + chr(92) + 'n]*')}', {group})"
+        skip = "list_filter({0}, lambda x: trim(x) not in ('if', 'for', 'while', 'switch', 'catch', 'return'))" if kind == "functions" and language in ("java", "cpp", "dart") else "{0}"
+        each.append(f"len({skip.format(found)})")
+    return " + ".join(each) or "0"
+
+
+def _kinds() -> str:
+    """K01 over the languages of the tables, in the order of precedence."""
+    kind, functions, imports = "", "", ""
+    for k in ("javascript", "typescript", "python", "java", "yaml"):
+        order = (("functions", "function"), ("classes", "class"), *(() if k == "yaml" else (("imports", "import"), ("comments", "comment"))))
+        kind += f"when '{k}' then case " + " ".join(f"when {_some(k, a)} > 0 then '{b}'" for a, b in order) + " else 'code' end "
+        functions += f"when '{k}' then {_some(k, 'functions')} "
+        imports += f"when '{k}' then {_some(k, 'imports')} "
+    lang = "case " + " ".join(f"when regexp_matches(lower(relative_path), '[.]({v})$') then '{k}'" for k, v in _ENDINGS.items()) + " else '' end"
+    return f"select chunk_id, case l {kind}else 'code' end as kind, case l {functions}else 0 end as functions, case l {imports}else 0 end as imports from (select *, {lang} as l from chunks where content is not null)"
+
+
+@query("K01_structure_kind", _kinds())
 def _(t: Tables) -> DataFrame:
     return _each_language(t, lambda rows, k: N.structure(rows, "content", k or "unknown").select("chunk_id", "kind", F.size("functions").alias("functions"), F.size("imports").alias("imports")))
 
