@@ -7,8 +7,10 @@ of a secret or not from its shape and context; the spans of the best label seque
 from __future__ import annotations
 
 import functools
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -225,8 +227,9 @@ def tokens(line: str) -> list[Token]:
                     role = ""
             sure = sure and kind == "value" and text.lower() in ("bearer", "basic")
         pos = end
+    marks = [(a, b) for a, b in (("{{", "}}"), ("<%", "%>"), ("${", "}")) if a in line]
     for t in out:
-        inside = any(line.rfind(a, 0, t.start) > line.rfind(b, 0, t.start) for a, b in (("{{", "}}"), ("<%", "%>"), ("${", "}")))
+        inside = any(line.rfind(a, 0, t.start) > line.rfind(b, 0, t.start) for a, b in marks)
         t.whole = "{{" + t.text if inside else t.text  # a reference
     for i in _joints(out):
         out[i + 4].joined = 2
@@ -253,9 +256,8 @@ def _joints(line: list[Token]) -> Iterator[int]:
 
 
 def entropy(s: str) -> float:
-    counts = np.bincount(np.frombuffer(s.encode("utf-8", "replace"), np.uint8))
-    p = counts[counts > 0] / max(1, counts.sum())
-    return float(-(p * np.log2(p)).sum())
+    n = max(1, len(s))
+    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
 _SHAPES = (
@@ -280,6 +282,7 @@ def _scrambled(s: str) -> bool:
     return len(s) >= 8 and (sum(1 for x in parts if len(x) > 2 and not re.search(r"[aeiouyAEIOUY]", x)) > 0 and len(parts) > 2 or len(parts) > 3 and sum(map(len, parts)) / len(parts) < 3)
 
 
+@functools.lru_cache(maxsize=20_000)
 def shape(s: str) -> str:
     for k, r in _SHAPES:
         if r.fullmatch(s) and not (k in ("words", "name") and _scrambled(s)) and not (k == "path" and len(s) >= 30 and re.search(r"\d", s) and re.search(r"[A-Z]", s)):
@@ -292,6 +295,7 @@ def _owner(name: str) -> str:
     return "none" if not name else "other" if OTHER_NAME.search(name) else "secret" if SECRET_NAME.search(name) else "plain"
 
 
+@functools.lru_cache(maxsize=20_000)
 def _blank(value: str) -> bool:
     """Whether a value is a placeholder, a reference to a value kept elsewhere, or the marker of a key block."""
     return bool(PLACEHOLDER.search(value) or REFERENCE.search(value) or value.startswith("-----"))
@@ -301,12 +305,14 @@ _PARTS = re.compile(r"[A-ZÀ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-Þ]?[a-zß-ÿ]+")
 _RUNS = re.compile(r"([a-zß-ÿ])[a-zß-ÿ]+|([A-ZÀ-Þ])[A-ZÀ-Þ]+|(\d)\d+")
 
 
-def parts(name: str) -> list[str]:
+@functools.lru_cache(maxsize=20_000)
+def parts(name: str) -> tuple[str, ...]:
     """The words of a name, without their digits, in lower case."""
-    return [x.lower() for x in _PARTS.findall(name)]
+    return tuple(x.lower() for x in _PARTS.findall(name))
 
 
-def _value_features(v: str, t: Token) -> list[str]:
+@functools.lru_cache(maxsize=20_000)
+def _value_features(v: str, quoted: bool) -> tuple[str, ...]:
     """What the characters of a value look like; nothing here knows a published form."""
     s, n = shape(v), len(v)
     size = "0" if n < 4 else "4" if n < 6 else "6" if n < 8 else "8" if n < 12 else "12" if n < 16 else "16" if n < 20 else "20" if n < 32 else "32" if n < 48 else "48" if n < 72 else "72" if n < 128 else "128"
@@ -316,22 +322,29 @@ def _value_features(v: str, t: Token) -> list[str]:
     runs = _RUNS.sub(lambda m: "a" if m[1] else "A" if m[2] else "0", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in v[:64]))
     turns = len(runs) * 8 // min(n, 64) if n else 0
     code = "".join(c for c in "()[].$<>+/=" if c in v)
-    return [f"s={s}", f"n={size}", f"e={int(entropy(v) * 2)}", f"w={vowels}", f"d={digits}", f"t={turns}", f"c={code}", f"c={code},n={size}", f"q={t.quoted}", f"u={runs[:6]}" if n < 16 else "u=", f"s={s},n={size}", f"s={s},q={t.quoted}", f"s={s},d={digits}", f"n={size},t={turns}", f"c={code},q={t.quoted}", f"u0={v[:1] if not v[:1].isalnum() else ''}"]
+    return (f"s={s}", f"n={size}", f"e={int(entropy(v) * 2)}", f"w={vowels}", f"d={digits}", f"t={turns}", f"c={code}", f"c={code},n={size}", f"q={quoted}", f"u={runs[:6]}" if n < 16 else "u=", f"s={s},n={size}", f"s={s},q={quoted}", f"s={s},d={digits}", f"n={size},t={turns}", f"c={code},q={quoted}", f"u0={v[:1] if not v[:1].isalnum() else ''}")
 
 
-def _context_features(line: list[Token], i: int) -> list[str]:
-    """The words of the name a value is given to, the word before it, and the tokens around it."""
-    t = line[i]
-    words, f = parts(t.name), []
+@functools.lru_cache(maxsize=20_000)
+def _name_features(name: str, s: str) -> tuple[bool, str, tuple[str, ...]]:
+    words, f = parts(name), []
     for w in words:
         f += [f"w:{w}", f"w4:{w[:4]}"]
-    last = words[-1] if words else ""
-    two, s = " ".join(words[-2:]), shape(t.whole)
+    last, two = words[-1] if words else "", " ".join(words[-2:])
     f += [f"l:{last}", f"l2:{two}", f"l3:{last[-4:]}", f"l:{last},s={s}", f"l2:{two},s={s}", f"w0:{bool(words)}", f"w0:{bool(words)},s={s}"]
+    return bool(words), last, tuple(f)
+
+
+def _context_features(line: list[Token], i: int) -> list[str]:
+    """The words of the name a value is given to, the word before it, and the tokens around it."""
+    t = line[i]
+    s = shape(t.whole)
+    words, last, name = _name_features(t.name, s)
+    f = [*name]
     before = t.before if t.before.startswith("-") or t.before.isalpha() and len(t.before) <= 12 else "other" if t.before else ""
     near = [("" if not 0 <= k < len(line) else line[k].kind if line[k].kind in ("value", "word", "name", "user", "flag", "url") else line[k].text[:3]) for k in (i - 2, i - 1, i + 1)]
     f += [f"b:{before}", f"b:{before},q={t.quoted}", f"b:{before},s={s}", f"b:{before},n={len(t.whole) // 8}", f"j={t.joined}", f"j={t.joined},l:{last}"]
-    f += [f"p2:{near[0]}", f"p1:{near[1]}", f"f1:{near[2]}", f"p:{near[0]} {near[1]}", f"p:{near[0]} {near[1]},s={s}", f"a:{near[1]} {near[2]}", f"a:{near[1]} {near[2]},w0:{bool(words)},s={s}"]
+    f += [f"p2:{near[0]}", f"p1:{near[1]}", f"f1:{near[2]}", f"p:{near[0]} {near[1]}", f"p:{near[0]} {near[1]},s={s}", f"a:{near[1]} {near[2]}", f"a:{near[1]} {near[2]},w0:{words},s={s}"]
     return f
 
 
@@ -344,7 +357,7 @@ def features(line: list[Token], context: bool = True) -> list[list[str]]:
             if _blank(t.whole):  # never a secret, and tells nothing of the name
                 out.append(["blank"])
                 continue
-            f = ["bias", "k=" + t.kind, *_value_features(t.whole, t)]
+            f = ["bias", "k=" + t.kind, *_value_features(t.whole, t.quoted)]
             out.append(f + _context_features(line, i) if context else f)
         elif t.kind in ("begin", "end"):
             out.append(["bias", "k=" + t.kind, *(f"m:{w}" for w in parts(t.text))])
