@@ -431,7 +431,7 @@ class Field:
         return out[::-1]
 
 
-def fit(lines: list[list[Token]], epochs: int = 160, rate: float = 0.15, decay: float = 0.02) -> Field:
+def fit(lines: list[list[Token]], epochs: int = 80, rate: float = 0.2, decay: float = 0.02) -> Field:
     """Fit by gradient ascent (with moments) on the likelihood of the known labels, all sequences at once (forward-backward by position, once
     free and once held to the labels that are known).
 
