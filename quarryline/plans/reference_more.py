@@ -19,7 +19,7 @@ from quarryline.operators import scripts as J
 from quarryline.operators import summary as P
 from quarryline.operators import symbols as Y
 from quarryline.plans import pipelines
-from quarryline.plans.reference_scan import _LANG, _LOC, COMPLEXITY, ENDING, _map
+from quarryline.plans.reference_scan import _LANG, _LOC, COMPLEXITY, ENDING, LINE_CHUNKS, _map
 from quarryline.plans.reference_stats import _TECH_ENDS, _TECH_RULES
 from quarryline.plans.registry import Registry, Tables
 from quarryline.sources.store import Store
@@ -400,7 +400,14 @@ def _(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.col("embedding").isNotNull().alias("embedded"))
 
 
-@query("M01_chunked_files")
+@query(
+    "M01_chunked_files",
+    LINE_CHUNKS
+    + """, n as (select *, row_number() over (partition by doc_id order by first) - 1 as ordinal from c),
+t as (select n.*, source || '/' || doc_id || '.md' as rel_path, sha256(text) as h, regexp_replace(array_to_string(l[first:last], chr(10)), '^\\s+|\\s+$', '', 'g') as chunk from n join d using (doc_id) join documents using (doc_id))
+select sha256(concat_ws('∣', 'all', rel_path, ordinal::varchar, h)) as chunk_id, rel_path, ordinal::int as ordinal, first as start_line, last as end_line, size,
+  case when contains(chunk, '//') or contains(chunk, '#') or contains(chunk, '--') or regexp_matches(chunk, '/\\*[\\s\\S]*?\\*/') then 'comment' else 'code' end as kind from t where length(chunk) > 0 and ceil(length(chunk) / 4) <= 2048""",
+)
 def _(t: Tables) -> DataFrame:
     files = t.documents.where("text is not null").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.sha2("text", 256).alias("hash"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
     return pipelines.chunked(files, "all", 4000).select("chunk_id", "rel_path", "ordinal", "start_line", "end_line", "size", "kind")

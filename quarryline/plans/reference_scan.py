@@ -218,9 +218,8 @@ def _(t: Tables) -> DataFrame:
     return K.fixed_chunks(t.documents, "text").select("doc_id", "chunk_no", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("hash"))
 
 
-@query(
-    "F17_line_chunks",
-    """with recursive d as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null),
+#: Chunks of whole lines: c(doc_id, first, last, size) and d(doc_id, l), the lines of each document.
+LINE_CHUNKS = """with recursive d as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null),
 p as (select doc_id, l, list_transform(l, lambda x: length(x) + 1) as n from d),
 s(doc_id, i, first, size, a, b, z) as (
   select doc_id, 0, 1, 0, null::int, null::int, null::int from p
@@ -231,7 +230,13 @@ s(doc_id, i, first, size, a, b, z) as (
     case when size + n[i + 1] > 4000 and size > 0 then first end, case when size + n[i + 1] > 4000 and size > 0 then i end, case when size + n[i + 1] > 4000 and size > 0 then size end
   from s join p using (doc_id) where i < len(n)),
 c as (select doc_id, a as first, b as last, z as size from s where a is not null union all select doc_id, first, len(n), s.size from s join p using (doc_id) where i = len(n))
-select doc_id, first as start_line, last as end_line, size from c join d using (doc_id)
+"""
+
+
+@query(
+    "F17_line_chunks",
+    LINE_CHUNKS
+    + """select doc_id, first as start_line, last as end_line, size from c join d using (doc_id)
 where length(regexp_replace(array_to_string(l[first:last], chr(10)), '^\\s+|\\s+$', '', 'g')) > 0""",
 )
 def _(t: Tables) -> DataFrame:
