@@ -18,7 +18,7 @@ from quarryline.operators import relations as L
 from quarryline.operators import retrieval as R
 from quarryline.operators import summary as P
 from quarryline.plans import pipelines
-from quarryline.plans.reference_rank import NAMED, VECTOR, _V
+from quarryline.plans.reference_rank import NAMED, VECTOR, _V, _some
 from quarryline.plans.reference_scan import _STATES, _states
 from quarryline.plans.reference_stats import _TECH
 from quarryline.plans.registry import Registry, Tables
@@ -321,7 +321,12 @@ def _(t: Tables) -> DataFrame:
     return last.groupBy("event_type").agg(F.max("value").alias("peak"), F.round(F.avg("value"), 6).alias("average"))
 
 
-@query("Y15_enriched_chunks")
+@query(
+    "Y15_enriched_chunks",
+    f"""with m as (select chunk_id, content, {_some('java', 'functions')} as functions, {_some('java', 'classes')} as classes, {_some('java', 'imports')} as imports, {_some('java', 'comments')} as comments from chunks where content is not null and ends_with(relative_path, '.java'))
+select chunk_id, case when functions > 0 then 'function' when classes > 0 then 'class' when imports > 0 then 'import' when comments > 0 then 'comment' else 'code' end as kind, functions, classes, comments,
+  list_filter(string_split_regex(lower('{NAMED}'), '\\s+'), lambda w: length(w) > 2 and contains(lower(content), w)) as words from m""",
+)
 def _(t: Tables) -> DataFrame:
     rows = t.chunks.where(F.col("content").isNotNull() & F.col("relative_path").endswith(".java"))
     return N.structure(rows, "content", "java").select("chunk_id", "kind", F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("comments").alias("comments"), R.partial_matches(F.col("content"), F.lit(NAMED)).alias("words"))
