@@ -60,6 +60,16 @@ def run_totals(df: DataFrame, by: list[str], value: str, ok: Column) -> DataFram
     )
 
 
+def _splits_below(x: Column, splits: list[float]) -> Column:
+    """How many of the sorted splits are smaller than x (none where x is null).
+
+    No lambda: in comparing plans Spark numbers a lambda's variables from 0, as it numbers a session's first columns. Where
+    both have the same number, it takes a filter on the column for one that needs no column, and puts it where there is none.
+    """
+    v = F.coalesce(x, F.lit(float("-inf")))
+    return (F.array_position(F.sort_array(F.array_append(F.array(*[F.lit(float(s)) for s in splits]), v)), v) - 1).cast("int") if splits else F.lit(0)
+
+
 def positions(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Adds _range and _pos: the place (from 0) of each row in the order of its key, though no task sees all rows of a key.
 
@@ -70,7 +80,7 @@ def positions(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     first = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0])
     rows = df.withColumn("_x", first.cast("double"))
     splits = sorted(set(rows.approxQuantile("_x", [i / RANGES for i in range(1, RANGES)], 0.01)))
-    rows = rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(x)) for x in splits]), lambda s: s < F.col("_x"))) if splits else F.lit(0)).drop("_x")
+    rows = rows.withColumn("_range", _splits_below(F.col("_x"), splits)).drop("_x")
     own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)) - 1
     before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy(by, "_range").agg(F.count("*").alias("_n")).select(F.col(by).alias("_k"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))

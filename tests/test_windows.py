@@ -1,6 +1,9 @@
 """Windows over keys that hold most rows, against the plain window over the whole key."""
 
 import random
+import subprocess
+import sys
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,3 +58,34 @@ def test_medians_and_separation(spark):
     mean = lambda z: sum(z) / len(z)
     got = M.separation(spark.createDataFrame(v, "label string, e array<double>"), "label", "e").first().separation
     assert abs(got - (mean([c for s, c in pairs if s]) - mean([c for s, c in pairs if not s]))) < 1e-9
+
+
+FRESH = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for r in entry.queries()[sys.argv[1]](spark, sys.argv[2]).collect():
+    print("row", *r)
+"""
+
+
+def fresh(spark, tmp_path, query):
+    """The rows of a query that is the first of its session, and events: there the columns' numbers begin at 0."""
+    events = [(i, datetime(2024, 1, 1) + timedelta(seconds=i * 7919 % 600), i % 5, "error" if i % 3 else None, None if i % 11 == 0 else float(i * 31 % 97)) for i in range(200)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = subprocess.run([sys.executable, "-c", FRESH, query, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    return [line.split()[1:] for line in out.stdout.splitlines() if line.startswith("row ")], sorted(events, key=lambda e: (e[1], e[0]))
+
+
+def test_eta_first_in_a_session(spark, tmp_path):
+    got, events = fresh(spark, tmp_path, "ref_W06_eta")
+    want, seen = {}, {}
+    for i, _, _, kind, value in events:
+        seen.setdefault(kind, []).append(value)
+        last = [v for v in seen[kind][-20:] if v is not None]
+        want[i] = (1000 - len(seen[kind])) * sum(last) / len(last) if last else None
+    assert len(got) == len(want) == 200
+    for i, eta in got:
+        assert eta == "None" if want[int(i)] is None else abs(float(eta) - want[int(i)]) < 1e-3
