@@ -89,3 +89,14 @@ def test_eta_first_in_a_session(spark, tmp_path):
     assert len(got) == len(want) == 200
     for i, eta in got:
         assert eta == "None" if want[int(i)] is None else abs(float(eta) - want[int(i)]) < 1e-3
+
+
+def test_run_lengths_first_in_a_session(spark, tmp_path):
+    got, events = fresh(spark, tmp_path, "ref_W03_run_lengths")
+    want, last = {}, {}
+    for i, _, _, kind, value in events:
+        if value is not None:
+            slow, (before, n) = value > 40, last.get(kind, (None, 0))
+            last[kind] = (slow, n + 1 if slow == before else 1)
+            want[str(i)] = [str(x) for x in last[kind]]
+    assert len(got) == len(want) and {i: row for i, *row in got} == want
